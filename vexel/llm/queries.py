@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, simhash
+from . import bpe, decontam, simhash, winnow
 from .common import table
 
 
@@ -27,10 +27,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op8_winnowing": op8_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
