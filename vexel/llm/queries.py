@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, simhash, winnow
+from . import bpe, decontam, ngram_lm, simhash, winnow
 from .common import table
 
 
@@ -31,11 +31,16 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op8_winnowing": op8_winnowing,
+    "op10_stupid_backoff": op10_stupid_backoff,
 }
 
 ORACLE_SQL: dict[str, str] = {}
