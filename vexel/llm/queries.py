@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, ngram_lm, quality, simhash, toxicity, winnow
+from . import bpe, decontam, ngram_lm, quality, simhash, toxicity, wavelet, winnow
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.stored_ids(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_wavelet": op6_wavelet,
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_stupid_backoff": op10_stupid_backoff,
