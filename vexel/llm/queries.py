@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, ngram_lm, quality, simhash, toxicity, wavelet, winnow
+from . import bpe, decontam, html, ngram_lm, quality, simhash, toxicity, wavelet, winnow
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored_ids(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_wavelet": op6_wavelet,
+    "op7_html": op7_html,
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_stupid_backoff": op10_stupid_backoff,
