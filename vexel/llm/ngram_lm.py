@@ -22,7 +22,7 @@ from . import common
 from .decontam import Terms, word_slices
 
 ORDER, ALPHA, CUT = 3, 0.4, 2
-BLOCK = 16 << 20  # bytes of text in a block
+BLOCK = 4 << 20  # bytes of text in a block
 BLOCKS = "block string, doc_id array<long>, n_words array<long>, hashes binary, tokens binary"
 
 
@@ -127,11 +127,9 @@ def _ask(known: DataFrame, k: int, parts: int, cut: int) -> DataFrame:
                 keys, _, n = _opened(row | {"parts": parts}, k - 1, cut).distinct()
                 part = _part(keys, parts)
                 by = np.argsort(part, kind="stable")
-                cuts = np.cumsum(np.bincount(part, minlength=parts))[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(parts), pa.int32()), pa.array([row["block"]] * parts), pa.array([x.tobytes() for x in np.split(keys[by], cuts)], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in np.split(n[by], cuts)], pa.binary())],
-                    ["part", "block", "keys", "n"],
-                )
+                own, first = np.unique(part[by], return_index=True)
+                dealt = [pa.array([x.tobytes() for x in np.split(v[by], first[1:])][: len(own)], pa.binary()) for v in (keys, n.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([row["block"]] * len(own), pa.string()), *dealt], ["part", "block", "keys", "n"])
 
     return known.mapInArrow(run, "part int, block string, keys binary, n binary")
 
