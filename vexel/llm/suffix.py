@@ -26,7 +26,7 @@ from . import common
 LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind a string that holds it
-BLOCK = 16 << 20  # bytes of text in a block
+BLOCK = 4 << 20  # bytes of text in a block
 PIECE = 1 << 18  # strings looked at at once
 HOT = 4096  # contexts of one anchor that are sorted together; those of hotter anchors are dealt by string
 BLOCKS = "block string, doc_id array<long>, lens array<long>, text binary"
@@ -56,7 +56,7 @@ def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     long = ends - starts >= LENGTH
     np.add.at(valid, starts[long], 1)
     np.add.at(valid, ends[long] - LENGTH + 1, -1)
-    valid = np.cumsum(valid[:-1]) > 0
+    valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
     places, hashes = [], []
     for at in range(0, len(text), PIECE):
         fits = valid[at : at + PIECE]
@@ -178,23 +178,23 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
 
 
-def _dealt(block: str, part: np.ndarray, parts: int, columns: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
-    """A row for each part with the bytes of each column's own entries, in order. A column may be ragged: (flat, lens)."""
+def _dealt(block: str, part: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    """A row for each part that has entries, with the bytes of each column's own ones, in order. A column may be
+    ragged: (flat, lens)."""
     by = np.argsort(part, kind="stable")
-    cuts = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+    own, first = np.unique(part[by], return_index=True)
+    cuts = np.append(first, len(part))
     out = []
     for flat, lens in columns:
         if lens is None:
-            v = flat[by]
-            out.append(pa.array([v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()))
+            v, at = flat[by], cuts
         else:
-            v, ends = common.ragged(flat, (np.cumsum(lens) - lens)[by], lens[by]), np.append(0, np.cumsum(lens[by]))
-            out.append(pa.array([v[a:b].tobytes() for a, b in zip(ends[cuts[:-1]], ends[cuts[1:]])], pa.binary()))
-    names = ["part", "block", *"abc"[: len(out)]]
-    return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([block] * parts), *out], names)
+            v, at = common.ragged(flat, (np.cumsum(lens) - lens)[by], lens[by]), np.append(0, np.cumsum(lens[by]))[cuts]
+        out.append(pa.array([v[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.string()), *out], ["part", "block", *"abc"[: len(out)]])
 
 
-def _gathered(got: list | None, part: np.ndarray, parts: int, dtype) -> np.ndarray:
+def _gathered(got: list | None, part: np.ndarray, dtype) -> np.ndarray:
     """What the parts sent back, in the order of the entries."""
     out = np.zeros(len(part), dtype)
     by = np.argsort(part, kind="stable")
@@ -231,7 +231,7 @@ class Block:
     def share(self) -> None:
         """Keeps the anchors that documents share, with their contexts."""
         keys, which, _ = self.keys()
-        shared = _gathered(self.row["r1"], _part(keys, self.parts), self.parts, np.uint8)
+        shared = _gathered(self.row["r1"], _part(keys, self.parts), np.uint8)
         keep = shared[which] > 0
         self.at, self.hash = self.at[keep], self.hash[keep]
         doc = self.doc(self.at)
@@ -252,7 +252,7 @@ class Block:
 
     def judge(self) -> None:
         """Finds the contexts whose bytes are to be sorted: whole ones, and string by string those of hot anchors."""
-        self.verdict = _gathered(self.row["r2"], self.entry_part, self.parts, np.uint8)
+        self.verdict = _gathered(self.row["r2"], self.entry_part, np.uint8)
         need = np.flatnonzero((self.verdict & 3) == 2)
         hot = (self.verdict[need] & 4) > 0
         first = self.first[need]
@@ -270,10 +270,10 @@ class Block:
 
     def removed(self) -> np.ndarray:
         """Whether each byte goes."""
-        masks = _gathered(self.row["r3"], self.record_part, self.parts, np.uint32)
+        masks = _gathered(self.row["r3"], self.record_part, np.uint32)
         by_entry = np.zeros(len(self.first), np.uint32)
         np.bitwise_or.at(by_entry, self.record_entry, masks << self.shift.astype(np.uint32))
-        cover = np.zeros(len(self.text) + 1, np.int64)
+        cover = np.zeros(len(self.text) + 1, np.int32)
         whole = ((self.verdict[self.entry] & 1) > 0) | (self.of > self.least[self.entry])
         np.add.at(cover, self.low[whole], 1)
         np.add.at(cover, self.high[whole], -1)
@@ -282,7 +282,7 @@ class Block:
             a = self.low[rest][(by_entry[self.entry[rest]] >> np.uint32(bit) & 1) > 0] + bit
             np.add.at(cover, a, 1)
             np.add.at(cover, a + LENGTH, -1)
-        return np.cumsum(cover[:-1]) > 0
+        return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def _arrays(pdf: pd.DataFrame, column: str, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -345,19 +345,19 @@ def _round(known: DataFrame, parts: int, k: int, ask, answer, columns: str) -> D
 
 def _ask_shared(b: Block) -> pa.RecordBatch:
     keys, _, within = b.keys()
-    return _dealt(b.row["block"], _part(keys, b.parts), b.parts, [((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), None), (within.astype(np.uint8), None)])
+    return _dealt(b.row["block"], _part(keys, b.parts), [((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), None), (within.astype(np.uint8), None)])
 
 
 def _ask_verdicts(b: Block) -> pa.RecordBatch:
     b.share()
-    return _dealt(b.row["block"], b.entry_part, b.parts, [(b.hash[b.first], None), (b.context, None), (b.least, None)])
+    return _dealt(b.row["block"], b.entry_part, [(b.hash[b.first], None), (b.context, None), (b.least, None)])
 
 
 def _ask_sorted(b: Block) -> pa.RecordBatch:
     b.share()
     b.judge()
     flat = common.ragged(b.text, b.record_low, b.record_len)
-    return _dealt(b.row["block"], b.record_part, b.parts, [(flat, b.record_len), (b.record_len.astype(np.uint8), None), (b.least[b.record_entry], None)])
+    return _dealt(b.row["block"], b.record_part, [(flat, b.record_len), (b.record_len.astype(np.uint8), None), (b.least[b.record_entry], None)])
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
