@@ -166,8 +166,18 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumn("keep", F.col("score") >= 0.5)
 
 
-def good(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """The rows of docs whose document isn't rejected; rows without an id stay. Columns as they were."""
-    id_col = columns.get("id_col", "doc_id")
-    bad = scores(docs, labels, **columns).where("not keep").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_class: int = PER_CLASS, pool: int = POOL) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject (score >= 0.5), with all columns as they were; no shuffle."""
+    common.small_batches(docs.sparkSession)
+    columns = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col, "source_col": source_col}
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, pool, **columns))
+    at = [docs.columns.index(c) for c in (id_col, text_col, lang_col, source_col)]
+
+    def run(batches):
+        for batch in batches:
+            own = [batch.column(i) for i in at]
+            own[1] = pa.array([(t or "").encode() for t in own[1].to_pylist()], pa.binary())
+            keep = model.value.scores(_features(pa.RecordBatch.from_arrays(own, ["id", "text", "lang", "source"])))[2] >= 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
