@@ -1,4 +1,5 @@
 """Every query by name, with the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
