@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ class Vocabulary:
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
-            p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            p = lists[0] if len(lists) == 1 else np.sort(np.concatenate(lists))
             a, b = self.left[rank], self.right[rank]
             p = p[(sym[p] == a) & (sym[nxt[p]] == b)]
             if a == b and len(p) > 1:  # in a run of equal symbols the leftmost pairs go first
@@ -123,7 +124,9 @@ class Vocabulary:
             nxt[p] = after
             prv[after] = p
             before = prv[p]
-            enter(np.unique(np.concatenate((before[before >= 0], p))))
+            new = before >= 0
+            new[1:] &= before[1:] != p[:-1]  # those are entered as p
+            enter(np.concatenate((before[new], p)))
         alive = sym[:n] >= 0
         return sym[:n][alive], np.add.reduceat(alive, ends - lens, dtype=np.int64)
 
@@ -171,16 +174,17 @@ class Encoder:
 
     def learn(self, new: list) -> None:
         """Finds the ids of new pieces, by way of those of new pretokens."""
-        cut = [([k[0]] if k[0] in self.special else pretokens(k[0])) if type(k) is tuple else pretokens(" " + k) for k in new]
+        find = PLAIN.findall if all(UNUSUAL.search("".join(map("".join, new[i : i + 10_000]))) is None for i in range(0, len(new), 10_000)) else pretokens
+        cut = [([k[0]] if k[0] in self.special else find(k[0])) if type(k) is tuple else find(" " + k) for k in new]
         known, number = len(self.words), self.words.__getitem__
         counts = np.array([len(c) for c in cut], np.int64)
-        seq = np.fromiter((number(w) for c in cut for w in c), np.int64, int(counts.sum()))
+        seq = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         words = list(self.words)[known:]
-        ids, lens = self.encode([w for w in words if w not in self.special])
-        for i, w in enumerate(words):
-            if w in self.special:
-                at = int(lens[:i].sum())
-                ids, lens = np.insert(ids, at, self.special[w]), np.insert(lens, i, 1)
+        special = [(i, w) for i, w in enumerate(words) if w in self.special]
+        ids, lens = self.encode([w for w in words if w not in self.special] if special else words)
+        for i, w in special:
+            at = int(lens[:i].sum())
+            ids, lens = np.insert(ids, at, self.special[w]), np.insert(lens, i, 1)
         self.word_ids, self.word_lens = np.concatenate((self.word_ids, ids)), np.concatenate((self.word_lens, lens))
         per = self.word_lens[seq]
         starts = np.cumsum(self.word_lens) - self.word_lens

@@ -7,7 +7,6 @@ token, counts a token up to a place and finds its occurrences. Shards are stored
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -44,7 +43,7 @@ class WaveletMatrix:
             planes.append(plane.tobytes())
             ones.append(np.append(0, np.cumsum(per)).astype("<u4").tobytes())
             zeros.append(int(len(x) - per.sum()))
-            x = np.concatenate((x[~bit], x[bit]))
+            x = np.concatenate((np.compress(~bit, x), np.compress(bit, x)))
         return cls(len(ids), planes, ones, zeros)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -52,12 +51,14 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the planes' orders from the lowest bit up."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             bit = self._bits(level)
             back = np.empty_like(x)
-            back[~bit], back[bit] = x[: self.zeros[level]], x[self.zeros[level] :]
-            x = back | (bit.astype(np.uint32) << (len(self.planes) - 1 - level))
+            one = len(self.planes) - 1 - level
+            back[np.flatnonzero(~bit)] = x[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = x[self.zeros[level] :] | x.dtype.type(1 << one)
+            x = back
         return x
 
     def _rank1(self, level: int, i: int) -> int:
@@ -129,25 +130,20 @@ _encoders: dict[str, bpe.Encoder] = {}
 
 
 def library_encoder(path: str) -> bpe.Encoder:
-    """The tokenizers library, asked once for each new pretoken; they are separated by a special token in its texts."""
+    """The tokenizers library's model, asked once for each new pretoken in the printable form of its bytes."""
     if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        special = bpe.Vocabulary(path).special
-        between, stop = next(iter(special.items()))
+        model = Tokenizer.from_file(path).model
+        vocabulary = bpe.Vocabulary(path)
+        shown = str.maketrans({b: c for c, b in bpe.byte_chars().items()})
 
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            texts = [between.join([*words[i : i + 2000], ""]) for i in range(0, len(words), 2000)]
-            got = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ids = np.concatenate(got) if got else np.zeros(0, np.int32)
-            stops = np.flatnonzero(ids == stop)
-            return ids[ids != stop], np.diff(stops, prepend=-1) - 1
+            got = [model.tokenize(w.encode().decode("latin-1").translate(shown)) for w in words]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((t.id for tokens in got for t in tokens), np.int32, int(lens.sum())), lens
 
-        _encoders[path] = bpe.Encoder(special, bpe.Vocabulary(path).split, encode)
+        _encoders[path] = bpe.Encoder(vocabulary.special, vocabulary.split, encode)
     return _encoders[path]
 
 
