@@ -328,8 +328,8 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return _back(pdf, earlier(records, lens.astype(np.int64), doc), cuts)
 
 
-def _round(known: DataFrame, parts: int, k: int, ask, answer, columns: str) -> DataFrame:
-    """One exchange: blocks ask the parts, whose answers are stored and joined to the blocks as r<k>."""
+def _round(known: DataFrame, name: str, buckets: int, parts: int, k: int, ask, answer, columns: str) -> DataFrame:
+    """One exchange: blocks ask the parts, whose answers are stored in the blocks' buckets and joined to them as r<k>."""
     spark = known.sparkSession
 
     def run(batches):
@@ -339,8 +339,10 @@ def _round(known: DataFrame, parts: int, k: int, ask, answer, columns: str) -> D
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole block
     asked = known.mapInArrow(run, "part int, block string, " + ", ".join(f"{c} binary" for c in columns))
-    answers = common.stored(asked.groupBy("part").applyInPandas(answer, "part int, block string, data binary"))
-    return known.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias(f"r{k}")), "block", "left")
+    answers = asked.groupBy("part").applyInPandas(answer, "part int, block string, data binary")
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias(f"r{k}"))
+    own.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(f"{name}_{k}")
+    return known.join(spark.table(f"{name}_{k}"), "block", "left")
 
 
 def _ask_shared(b: Block) -> pa.RecordBatch:
@@ -368,9 +370,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     known = spark.table(name)
     size = known.select(F.sum(F.length("text"))).first()[0] or 0
     parts = int(max(buckets, size >> 23))
-    known = _round(known, parts, 1, _ask_shared, _shared, "ab")
-    known = _round(known, parts, 2, _ask_verdicts, _verdicts, "abc")
-    return _round(known, parts, 3, _ask_sorted, _sorted, "abc"), parts
+    known = _round(known, name, buckets, parts, 1, _ask_shared, _shared, "ab")
+    known = _round(known, name, buckets, parts, 2, _ask_verdicts, _verdicts, "abc")
+    return _round(known, name, buckets, parts, 3, _ask_sorted, _sorted, "abc"), parts
 
 
 def _documents(known: DataFrame, parts: int, schema: str, result) -> DataFrame:
