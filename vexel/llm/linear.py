@@ -18,8 +18,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     weight = weight / max(weight.sum(), 1e-12)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        e = (sigmoid(x @ w + b) - y) * weight
-        g = np.append(x.T @ e + l2 * w, e.sum())
+        e = (sigmoid(x @ w.astype(x.dtype) + b) - y) * weight
+        g = np.append(e.astype(x.dtype) @ x + l2 * w, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]

@@ -59,8 +59,8 @@ class View:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-3
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-        self.w, self.b = linear.logistic((x - self.mean) / self.sd, y, weight, l2=1e-2, steps=200, rate=0.02)
+        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(x.dtype)
+        self.w, self.b = linear.logistic((x - self.mean) / self.sd, y, weight, l2=1e-2, steps=100, rate=0.03)
         self.scale = 1.0, 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
