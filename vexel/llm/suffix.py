@@ -90,26 +90,35 @@ def suffix_array(s: np.ndarray, prefix: int | None = None, covered: int = 1) ->
     extra = n % 3 == 1  # then a triple of zeros ends the first half of the names
     one, two = np.arange(1, n + extra, 3), np.arange(2, n, 3)
     sample = np.concatenate((one, two))
+    last = None  # the order of the sample by its triples, where it comes out
     if size < 1 << 20:
         key = (t[sample] * size + t[sample + 1]) * size + t[sample + 2]
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, np.diff(key[order]) != 0)
+        if size**3 <= 1 << 25:  # few possible triples: names by counting them
+            there = np.zeros(size**3, bool)
+            there[key] = True
+            names = np.cumsum(there, dtype=np.int32)[key].astype(np.int64)
+        else:
+            last = np.argsort(key)
+            new = np.append(True, np.diff(key[last]) != 0)
     else:
-        order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
-        a = sample[order]
+        last = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
+        a = sample[last]
         new = np.append(True, (t[a[1:]] != t[a[:-1]]) | (t[a[1:] + 1] != t[a[:-1] + 1]) | (t[a[1:] + 2] != t[a[:-1] + 2]))
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(new)
-    if not new.all() and (prefix is None or 3 * covered < prefix):
+    if last is not None:
+        names = np.empty(len(sample), np.int64)
+        names[last] = np.cumsum(new)
+    if names.max() < len(sample) and (prefix is None or 3 * covered < prefix):
         order = suffix_array(names, prefix, 3 * covered)
         names[order] = np.arange(1, len(sample) + 1)
+    else:
+        order = np.argsort(names) if last is None else last
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
     order = order[sample[order] < n]
     sorted12 = sample[order]
     zero = np.arange(0, n, 3)
     base = int(names.max()) + 2
-    zero = zero[np.argsort(t[zero] * base + rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(t[zero] * base + rank[zero + 1])]
     # The merge: how many sampled suffixes stand before each other one, by the comparisons that lead to sampled places.
     is_one = sorted12 % 3 == 1
     s1, s2 = sorted12[is_one], sorted12[~is_one]
@@ -208,13 +217,17 @@ class Block:
 
     def __init__(self, row: dict, parts: int):
         self.row, self.parts = row, parts
-        self.text = np.frombuffer(row["text"], np.uint8)
+        self.text = np.frombuffer(row.get("text", b""), np.uint8)
         self.lens = np.array(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
         known = np.array([i is not None for i in row["doc_id"]], bool)
         self.ids = np.array([i or 0 for i in row["doc_id"]], np.int64)
-        self.at, self.hash = anchors(self.text, self.starts[known], self.ends[known])
+        if "at" in row:  # share() was there before
+            self.at, self.hash, self.context = (np.frombuffer(row[c], k) for c, k in (("at", "<i8"), ("hash", np.uint64), ("context", np.uint64)))
+            self.follow()
+        else:
+            self.at, self.hash = anchors(self.text, self.starts[known], self.ends[known])
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchors, which of them each place has, and whether documents of this block share them."""
@@ -228,24 +241,31 @@ class Block:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, "right")
 
-    def share(self) -> None:
-        """Keeps the anchors that documents share, with their contexts."""
+    def share(self) -> list[bytes]:
+        """The anchors that documents share: places, hashes and hashes of their contexts."""
         keys, which, _ = self.keys()
-        shared = _gathered(self.row["r1"], _part(keys, self.parts), np.uint8)
-        keep = shared[which] > 0
+        keep = _gathered(self.row["r1"], _part(keys, self.parts), np.uint8)[which] > 0
         self.at, self.hash = self.at[keep], self.hash[keep]
-        doc = self.doc(self.at)
-        self.of = self.ids[doc]
-        self.low = np.maximum(self.starts[doc], self.at - REACH)
-        self.high = np.minimum(self.ends[doc], self.at + LENGTH)
+        low, high = self.bounds()
         text = self.row["text"]
-        context = np.fromiter((xxhash.xxh64_intdigest(text[a:b], p - a) for p, a, b in zip(self.at.tolist(), self.low.tolist(), self.high.tolist())), np.uint64, len(self.at))
-        both = (self.hash ^ (context >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) ^ context
-        _, self.first, self.entry = np.unique(both, return_index=True, return_inverse=True)
-        self.context = context[self.first]
-        self.least = np.full(len(self.first), np.iinfo(np.int64).max)
+        context = np.fromiter((xxhash.xxh64_intdigest(text[a:b], p - a) for p, a, b in zip(self.at.tolist(), low.tolist(), high.tolist())), np.uint64, len(self.at))
+        return [self.at.astype("<i8").tobytes(), self.hash.tobytes(), context.tobytes()]
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the contexts."""
+        doc = self.doc(self.at)
+        return np.maximum(self.starts[doc], self.at - REACH), np.minimum(self.ends[doc], self.at + LENGTH)
+
+    def follow(self) -> None:
+        """Puts equal contexts of equal anchors together: an entry, with its least document, for each."""
+        self.of = self.ids[self.doc(self.at)]
+        self.low, self.high = self.bounds()
+        both = (self.hash ^ (self.context >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) ^ self.context
+        _, first, self.entry = np.unique(both, return_index=True, return_inverse=True)
+        self.context = self.context[first]
+        self.least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.entry, self.of)
-        self.first = self.first.copy()
+        self.first = first.copy()
         own = np.flatnonzero(self.of == self.least[self.entry])
         self.first[self.entry[own]] = own  # a place in the least document
         self.entry_part = _part(self.hash[self.first], self.parts)
@@ -351,28 +371,43 @@ def _ask_shared(b: Block) -> pa.RecordBatch:
 
 
 def _ask_verdicts(b: Block) -> pa.RecordBatch:
-    b.share()
     return _dealt(b.row["block"], b.entry_part, [(b.hash[b.first], None), (b.context, None), (b.least, None)])
 
 
 def _ask_sorted(b: Block) -> pa.RecordBatch:
-    b.share()
     b.judge()
     flat = common.ragged(b.text, b.record_low, b.record_len)
     return _dealt(b.row["block"], b.record_part, [(flat, b.record_len), (b.record_len.astype(np.uint8), None), (b.least[b.record_entry], None)])
 
 
+def _shared_anchors(known: DataFrame, name: str, buckets: int, parts: int) -> DataFrame:
+    """Stores the shared anchors of each block in its bucket."""
+    spark = known.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = [row["block"], *Block(row, parts).share()]
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["block", "at", "hash", "context"])
+
+    out = known.mapInArrow(run, "block string, at binary, hash binary, context binary")
+    out.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(f"{name}_shared")
+    return spark.table(f"{name}_shared")
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The blocks with all that is known of their anchors, and the number of parts."""
     spark = docs.sparkSession
     name = f"vexel_suffix_{uuid.uuid4().hex}"
     buckets = 2 * common.parts(spark)
     pack(docs, id_col, text_col).write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    known = spark.table(name)
-    size = known.select(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(max(buckets, size >> 23))
-    known = _round(known, name, buckets, parts, 1, _ask_shared, _shared, "ab")
-    known = _round(known, name, buckets, parts, 2, _ask_verdicts, _verdicts, "abc")
-    return _round(known, name, buckets, parts, 3, _ask_sorted, _sorted, "abc"), parts
+    blocks = spark.table(name)
+    size = blocks.select(F.sum(F.length("text"))).first()[0] or 0
+    parts = int(max(buckets, size >> 22))
+    exchange = lambda known, *x: _round(known, name, buckets, parts, *x)
+    shared = _shared_anchors(exchange(blocks, 1, _ask_shared, _shared, "ab"), name, buckets, parts)
+    verdicts = exchange(blocks.drop("text").join(shared, "block"), 2, _ask_verdicts, _verdicts, "abc").select("block", "r2")
+    return exchange(blocks.join(shared, "block").join(verdicts, "block", "left"), 3, _ask_sorted, _sorted, "abc"), parts
 
 
 def _documents(known: DataFrame, parts: int, schema: str, result) -> DataFrame:
@@ -382,7 +417,6 @@ def _documents(known: DataFrame, parts: int, schema: str, result) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row, parts)
-                b.share()
                 b.judge()
                 yield result(row["doc_id"], row["text"], b.removed(), b.starts.tolist(), b.ends.tolist())
 
