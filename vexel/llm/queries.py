@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, ngram_lm, quality, simhash, suffix, toxicity, wavelet, winnow
 from .common import table
@@ -52,7 +53,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+    found = ngram_lm.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("score", "mean_score")])
 
 
 QUERIES = {
@@ -68,4 +70,27 @@ QUERIES = {
     "op10_stupid_backoff": op10_stupid_backoff,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+PLACES = f"docs AS (SELECT doc_id, {WORDS} AS ws FROM documents), ex AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM docs)"
+
+#: SQL has neither the hashes, byte strings, tokenizer and trained models of the other operators, nor is it fit for
+#: whole tables there; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH {PLACES}, bench AS (SELECT item_id, {WORDS} AS ws FROM benchmark), b AS (SELECT *, least(10, len(ws)) AS k FROM bench WHERE len(ws) > 0),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(ws[i : i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM b)),
+        around AS (SELECT doc_id, p, list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM ex),
+        part AS (SELECT doc_id, p, k, array_to_string(l[1 : k], ' ') AS s FROM around JOIN (SELECT DISTINCT k FROM win) ON len(l) >= k),
+        hits AS (SELECT doc_id, p, k, item_id FROM part JOIN win USING (k, s)),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)""",
+    "op10_stupid_backoff": f"""
+        WITH {PLACES}, g AS (SELECT *, lag(w, 1) OVER o AS v, lag(w, 2) OVER o AS u FROM ex WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        c1 AS (SELECT w, count(*) AS n1 FROM g GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n2 FROM g WHERE v IS NOT NULL GROUP BY 1, 2), c3 AS (SELECT u, v, w, count(*) AS n3 FROM g WHERE u IS NOT NULL GROUP BY 1, 2, 3),
+        j AS (SELECT g.doc_id, g.u, g.v, a.n1, b.n1 AS m1, c2.n2, d.n2 AS m2, c3.n3 FROM g JOIN c1 a ON a.w = g.w LEFT JOIN c1 b ON b.w = g.v LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c2 d ON d.v = g.u AND d.w = g.v LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w),
+        s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM ex)) AS a FROM j), s2 AS (SELECT *, CASE WHEN v IS NULL THEN a WHEN n2 >= 2 THEN ln(n2 / m1) ELSE ln(0.4::DOUBLE) + a END AS b FROM s1),
+        s3 AS (SELECT doc_id, CASE WHEN u IS NULL THEN b WHEN n3 >= 2 THEN ln(n3 / m2) ELSE ln(0.4::DOUBLE) + b END AS s FROM s2), t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s3 GROUP BY 1)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 4) + 0.0 AS score, round(s / n, 4) + 0.0 AS mean_score FROM docs LEFT JOIN t USING (doc_id)""",
+}
