@@ -29,7 +29,7 @@ FULL = regex.compile(PATTERN)
 UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 
 BUFFER = 16 << 20  # bytes of text handled at once
-CACHE = 800_000  # pieces kept by a worker before it starts afresh
+CACHE = 500_000  # pieces kept by a worker before it starts afresh
 
 
 def byte_chars() -> dict[str, int]:
@@ -175,7 +175,8 @@ class Encoder:
     def learn(self, new: list) -> None:
         """Finds the ids of new pieces, by way of those of new pretokens."""
         find = PLAIN.findall if all(UNUSUAL.search("".join(map("".join, new[i : i + 10_000]))) is None for i in range(0, len(new), 10_000)) else pretokens
-        cut = [([k[0]] if k[0] in self.special else find(k[0])) if type(k) is tuple else find(" " + k) for k in new]
+        # A piece of letters only is one pretoken with its space.
+        cut = [([k[0]] if k[0] in self.special else find(k[0])) if type(k) is tuple else [" " + k] if k.isalpha() else find(" " + k) for k in new]
         known, number = len(self.words), self.words.__getitem__
         counts = np.array([len(c) for c in cut], np.int64)
         seq = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
