@@ -7,6 +7,7 @@ at once; the pairs that a merge makes go into the lists of their own (always hig
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -15,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -160,17 +162,31 @@ class Encoder:
         self.piece_ids, self.piece_lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.word_ids, self.word_lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def keys(self, text: str) -> list:
-        """A string stands for itself after a space, a tuple for just its text."""
-        if not text:
-            return []
+    def uneven(self, text: str) -> list | None:
+        """The keys of a text that can't be cut at its spaces: a tuple stands for just its text."""
         if self.split is not None and any(s in text for s in self.special):
             return [(w,) for part in self.split.split(text) for w in ([part] if part in self.special else pretokens(part))]
-        if UNEVEN.search(text):
-            return [(w,) for w in pretokens(text)]
-        pieces = text.split(" ")
-        pieces[0] = (pieces[0],)
-        return pieces
+        plain = text.replace("\n", " ")  # of white space, only the space is printable
+        if plain.isprintable() and plain and plain[0] != " " != plain[-1] and "  " not in plain:
+            return None
+        return [(w,) for w in pretokens(text)] if not text or UNEVEN.search(text) else None
+
+    def numbered(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's pieces. Arrow cuts the texts and finds the distinct pieces, of which a string
+        stands for itself after a space."""
+        number = self.pieces.__getitem__
+        out: list = [self.uneven(t) for t in texts]
+        out = [k if k is None else np.fromiter(map(number, k), np.int32, len(k)) for k in out]
+        even = [i for i, k in enumerate(out) if k is None]
+        lists = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
+        values, ends = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        distinct = values.dictionary.to_pylist()
+        seq = np.fromiter(map(number, distinct), np.int32, len(distinct))[values.indices.to_numpy()]
+        first = values.indices.to_numpy()[ends[:-1]].tolist()
+        seq[ends[:-1]] = [number((distinct[f],)) for f in first]  # no space stands before them
+        for i, a, b in zip(even, ends.tolist(), ends[1:].tolist()):
+            out[i] = seq[a:b]
+        return out
 
     def learn(self, new: list) -> None:
         """Finds the ids of new pieces, by way of those of new pretokens."""
@@ -195,12 +211,18 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each text has."""
+        collects = gc.isenabled()
+        gc.disable()  # many small lists and no cycles
+        try:
+            return self._texts(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > CACHE:
             self.clear()
-        number, known, seqs = self.pieces.__getitem__, len(self.pieces), []
-        for text in texts:
-            keys = self.keys(text)
-            seqs.append(np.fromiter(map(number, keys), np.int32, len(keys)))
+        known, seqs = len(self.pieces), self.numbered(texts)
         if len(self.pieces) > known:
             self.learn(list(self.pieces)[known:])
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
