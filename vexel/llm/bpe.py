@@ -261,6 +261,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 [pa.array(held["id"], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(text, pa.string())],
                 ["doc_id", "ids", "decoded"],
             )
+        encoder.clear()  # the worker may serve other stages next
 
     common.small_batches(docs.sparkSession)
     return common.keyed(docs, id_col, text_col, binary=False).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -280,6 +281,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 text_hash.append(hashlib.sha256(vocabulary.decode(ids[a:b]).encode()).hexdigest())
             columns = [pa.array(held["id"], pa.int64()), pa.array(lens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.clear()
 
     common.small_batches(docs.sparkSession)
     return common.keyed(docs, id_col, text_col, binary=False).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
