@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vexel.catalog import QUERIES
 from vexel.functions import scalars, vectors
 from vexel.operators import clusters, combine, diverse, frames, graph, overlap, quality, sampling
 from vexel.sources import sinks, tables
@@ -92,6 +93,14 @@ def test_graph(spark):
     assert lines[0] == "5 4" and lines[1] == "0 1 0.900000"
 
 
+def test_graph_lines_of_all_vectors(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    lines = {(r.src, r.dst): r.line for r in QUERIES["graph_lines"](spark, sf).collect()}
+    assert lines.pop((-1, -1)) == f"{n} {n * (n - 1) // 2}"
+    weights = {(r.src, r.dst): r.weight for r in QUERIES["graph_edges"](spark, sf).collect()}
+    assert lines.keys() == weights.keys() and all(x.split()[:2] == [str(i), str(j)] and abs(float(x.split()[2]) - weights[i, j]) < 2e-6 for (i, j), x in lines.items())
+
+
 def test_combiners_sum_to_one(spark):
     rng = np.random.default_rng(0)
     rows = [(v, f, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for v, n in enumerate((1, 2, 3, 7)) for f in range(n)]

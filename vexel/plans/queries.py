@@ -79,7 +79,7 @@ def r6(expr: str, name: str) -> str:
 query("pairwise_cosine", f"WITH {PAIRS} SELECT src, dst, {r6('sim', 'sim')} FROM p")(lambda s, d: graph.pairwise_cosine(fx.video_embeddings(s, d)))
 query("graph_edges", f"WITH {PAIRS} SELECT src, dst, {r6('(sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ())', 'weight')} FROM p")(lambda s, d: graph.edges(fx.video_embeddings(s, d)))
 query("graph_lines", f"""WITH {PAIRS}, w AS (SELECT src, dst, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS w FROM p WHERE dst < 60)
-    SELECT -1::BIGINT AS src, -1::BIGINT AS dst, (max(dst) + 1) || ' ' || count(*) AS line FROM w UNION ALL SELECT src, dst, printf('%d %d %.6f', src, dst, w) FROM w""")(lambda s, d: sinks.graph_lines(graph.edges(fx.video_embeddings(s, d).where("node_id < 60"))))
+    SELECT -1::BIGINT AS src, -1::BIGINT AS dst, (max(dst) + 1) || ' ' || count(*) AS line FROM w UNION ALL SELECT src, dst, printf('%d %d %.6f', src, dst, w) FROM w""")(lambda s, d: sinks.graph_lines(graph.edges(fx.video_embeddings(s, d))))
 query("similarity_range", f"WITH {PAIRS} SELECT {r6('min(sim)', 'min_sim')}, {r6('max(sim)', 'max_sim')}, count(*) AS n_pairs FROM p")(lambda s, d: graph.similarity_range(graph.pairwise_cosine(fx.video_embeddings(s, d))))
 query("node_ids", f"WITH {REGISTRY} SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 AS node_id FROM r")(lambda s, d: graph.node_ids(fx.registry(s, d)))
 query("norms", f"WITH {V1} SELECT node_id, {r6('sqrt(list_sum(list_transform(v, lambda x: x * x)))', 'norm')}, len(v)::BIGINT AS dims FROM v1")(lambda s, d: fx.video_embeddings(s, d).select("node_id", vectors.norm("v").alias("norm"), F.size("v").alias("dims")))
