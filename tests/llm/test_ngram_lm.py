@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 from tests.llm.helpers import odd_documents
-from vexel.llm import ngram_lm
+from vexel.llm import ngram_lm, queries
 from vexel.llm.decontam import words
 
 
@@ -47,3 +47,11 @@ def test_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     close(given(ngram_lm.scores(docs)), brute(rows))
     assert ngram_lm.scores(odd_documents(spark, empty=True)).collect() == []
+
+
+def test_the_query_counts_every_ngram(spark, tmp_path):
+    rows = [(1, "one word pair that stands once"), (2, "one word pair more"), (3, "unlike all others"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = given(queries.op10_stupid_backoff(spark, str(tmp_path)))
+    close(got, brute(rows, cut=1))
+    assert abs(got[2][2] - math.log(1 / 13)) < 1e-3  # each word after the first is certain

@@ -53,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_lm.scores(table(spark, sf_dir, "documents"))
+    found = ngram_lm.scores(table(spark, sf_dir, "documents"), cut=1)
     return found.select("doc_id", "n_words", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("score", "mean_score")])
 
 
