@@ -54,6 +54,16 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     assert 1 not in {r.doc_id for r in decontam.clean(docs, bench).collect()}
 
 
+def test_equal_shards_and_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"the passage number{i} of the benchmark") for i in range(8)], "item_id long, text string")
+    rows = [(None, "here is the passage number3 of the benchmark again")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(decontam, "SHARD", 1)  # a shard for each Arrow batch
+    monkeypatch.setattr(decontam.common, "ARROW_ROWS", 1)
+    monkeypatch.setattr(decontam, "QUERY_BYTES", 150)
+    assert sorted(map(tuple, decontam.contamination(docs, bench).collect()), key=str) == brute(rows, rows_of(bench, "item_id", "text"))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "f e x x x a"), (3, "a")], "doc_id long, text string")
     index = decontam.build_index(docs)

@@ -7,7 +7,7 @@ first, then intersect the offset-adjusted lists of the others. No list crosses s
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,8 @@ class Terms(dict):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index, one row for each shard. Null texts have no words; repeated rows are documents of their own."""
+    """The index, one row for each shard. Null texts have no words; repeated rows are documents of their own. Shards
+    are named anew at each run, so an index that is searched more than once has to be stored."""
 
     def shard(ids: list, texts: list[bytes]):
         terms = Terms()
@@ -70,8 +71,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         delta = np.diff(pos[by], prepend=0)
         first = np.cumsum(counts) - counts
         delta[first] = pos[by][first]
-        key = hashlib.md5(f"{ids[:1]}{len(ids)}{lens[:64].tolist()}".encode() + texts[0][:4096]).hexdigest()
-        return [key, ids, n_words, b" ".join(terms), counts.astype("<u4").tobytes(), delta.astype("<u4").tobytes()]
+        return [uuid.uuid4().hex, ids, n_words, b" ".join(terms), counts.astype("<u4").tobytes(), delta.astype("<u4").tobytes()]
 
     def run(batches):
         for held in common.buffered(batches, SHARD):
