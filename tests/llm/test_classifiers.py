@@ -19,6 +19,17 @@ def test_toxicity_on_held_out_rows(spark, sf, least):
     assert right >= 0.9 and auc >= least, (right, auc)
 
 
+def test_toxicity_keeps_rare_expressions(spark):
+    rows = [(i, f"some plain words{i % 7} and {'zorg blick fump' if i % 2 else 'other'} words{i % 5} here", i % 2) for i in range(80)]
+    rows += [(100 + i, f"onceword{i} seen{i} here", i % 2) for i in range(40)]
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    ratio = lambda text: model.features(text)[0]
+    unknown = ratio(b"never met")
+    assert ratio(b"blick") > unknown + 0.4 and ratio(b"fump") > unknown + 0.4 and ratio(b"blick fump") > unknown + 0.2
+    once = [(ratio(f"onceword{i} seen{i}".encode()) - unknown) * (1 if i % 2 else -1) for i in range(40)]
+    assert sum(x > 1e-3 for x in once) >= 15 and min(once) > -1e-3  # those of the rows that are learnt from
+
+
 def test_quality_on_rows_not_learnt(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     learnt = labels.where("doc_id % 3 <> 0")
