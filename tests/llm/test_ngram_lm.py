@@ -1,12 +1,15 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+
 from tests.llm.helpers import odd_documents
 from vexel.llm import ngram_lm, queries
 from vexel.llm.decontam import words
 
 
-def brute(rows, order=3, alpha=0.4, cut=2):
+def brute(rows, order=3, alpha=0.4, cut=1):
     docs = [(d, words((t or "").encode())) for d, t in rows]
     counts = [Counter(tuple(w[i : i + k]) for _, w in docs for i in range(len(w) - k + 1)) for k in range(1, order + 1)]
     total = sum(len(w) for _, w in docs)
@@ -38,6 +41,7 @@ def test_whole_table(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     close(given(ngram_lm.scores(docs)), brute(rows))
+    close(given(ngram_lm.scores(docs, cut=2)), brute(rows, cut=2))
     monkeypatch.setattr(ngram_lm, "BLOCK", 100_000)
     close(given(ngram_lm.scores(docs)), brute(rows))
 
@@ -53,5 +57,11 @@ def test_the_query_counts_every_ngram(spark, tmp_path):
     rows = [(1, "one word pair that stands once"), (2, "one word pair more"), (3, "unlike all others"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = given(queries.op10_stupid_backoff(spark, str(tmp_path)))
-    close(got, brute(rows, cut=1))
+    close(got, brute(rows))
     assert abs(got[2][2] - math.log(1 / 13)) < 1e-3  # each word after the first is certain
+
+
+def test_counts_beyond_32_bits():
+    keys, n = np.array([5, 9], np.uint64).tobytes(), np.array([4_000_000_000, 3], "<u4").tobytes()
+    out = ngram_lm._count(pd.DataFrame({"part": [0, 0], "block": ["a", "b"], "keys": [keys, keys], "n": [n, n]}))
+    assert [ngram_lm._wide(x).tolist() for x in out["counts"]] == [[8_000_000_000, 6]] * 2

@@ -3,8 +3,8 @@
 Documents are packed into blocks, which are stored bucketed by block, so that no join shuffles them. For each order a
 block explodes into its distinct n-grams, which are dealt by hash to the parts of that order's count table; a part
 sums the counts of all blocks and joins them to the n-grams that each block asked for. So a frequent n-gram reaches
-its part once for each block. N-grams below `cut` count as unseen above order 1; then an n-gram can only be seen if
-both of its shorter n-grams are, and no others are exploded.
+its part once for each block. All n-grams count; a caller may ask for a floor `cut`, below which those of two words and
+more count as unseen: then an n-gram can only be seen if both of its shorter n-grams are, and no others are exploded.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 from .decontam import Terms, word_slices
 
-ORDER, ALPHA, CUT = 3, 0.4, 2
+ORDER, ALPHA, CUT = 3, 0.4, 1
 BLOCK = 4 << 20  # bytes of text in a block
 BLOCKS = "block string, doc_id array<long>, n_words array<long>, hashes binary, tokens binary"
 
@@ -104,7 +104,7 @@ def _opened(row: dict, orders: int, cut: int) -> Block:
     block = Block(row)
     for k in range(1, orders + 1):
         got = sorted(row[f"counts{k}"] or [], key=lambda x: x["part"])
-        parts = [np.frombuffer(x["counts"], "<u4") for x in got]
+        parts = [_wide(x["counts"]) for x in got]
         keys = block.distinct()[0]
         counts = np.zeros(len(keys), np.int64)
         if parts:
@@ -139,9 +139,20 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     asked = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
     table, which = np.unique(np.concatenate(asked), return_inverse=True)
     n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["n"]])
-    sums = np.minimum(np.bincount(which, weights=n, minlength=len(table)), 0xFFFFFFFF).astype("<u4")[which]
+    sums = np.zeros(len(table), np.int64)
+    np.add.at(sums, which, n.astype(np.int64))
     ends = np.cumsum([len(x) for x in asked])[:-1]
-    return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "counts": [x.tobytes() for x in np.split(sums, ends)]})
+    return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "counts": [_narrow(x) for x in np.split(sums[which], ends)]})
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 if one needs them, after a byte that says so."""
+    size = 8 if counts.max(initial=0) >> 32 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_lm.scores(table(spark, sf_dir, "documents"), cut=1)
+    found = ngram_lm.scores(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("score", "mean_score")])
 
 
@@ -90,7 +90,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {PLACES}, g AS (SELECT *, lag(w, 1) OVER o AS v, lag(w, 2) OVER o AS u FROM ex WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
         c1 AS (SELECT w, count(*) AS n1 FROM g GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n2 FROM g WHERE v IS NOT NULL GROUP BY 1, 2), c3 AS (SELECT u, v, w, count(*) AS n3 FROM g WHERE u IS NOT NULL GROUP BY 1, 2, 3),
         j AS (SELECT g.doc_id, g.u, g.v, a.n1, b.n1 AS m1, c2.n2, d.n2 AS m2, c3.n3 FROM g JOIN c1 a ON a.w = g.w LEFT JOIN c1 b ON b.w = g.v LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c2 d ON d.v = g.u AND d.w = g.v LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w),
-        s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM ex)) AS a FROM j), s2 AS (SELECT *, CASE WHEN v IS NULL THEN a WHEN n2 >= 2 THEN ln(n2 / m1) ELSE ln(0.4::DOUBLE) + a END AS b FROM s1),
-        s3 AS (SELECT doc_id, CASE WHEN u IS NULL THEN b WHEN n3 >= 2 THEN ln(n3 / m2) ELSE ln(0.4::DOUBLE) + b END AS s FROM s2), t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s3 GROUP BY 1)
+        s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM ex)) AS a FROM j), s2 AS (SELECT *, CASE WHEN v IS NULL THEN a WHEN n2 >= 1 THEN ln(n2 / m1) ELSE ln(0.4::DOUBLE) + a END AS b FROM s1),
+        s3 AS (SELECT doc_id, CASE WHEN u IS NULL THEN b WHEN n3 >= 1 THEN ln(n3 / m2) ELSE ln(0.4::DOUBLE) + b END AS s FROM s2), t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s3 GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 4) + 0.0 AS score, round(s / n, 4) + 0.0 AS mean_score FROM docs LEFT JOIN t USING (doc_id)""",
 }
