@@ -82,6 +82,7 @@ def test_odd_rows(spark):
 def test_many_blocks(spark, monkeypatch, rows):
     monkeypatch.setattr(winnow, "BLOCK_ROWS", rows)
     monkeypatch.setattr(winnow, "CHUNK", 40)
+    monkeypatch.setattr(winnow, "STEP", 3)
     texts = [(i % 37 if i % 5 else None, "text %d " % (i % 11) * (i % 23)) for i in range(150)]
     check(spark.createDataFrame(texts, "doc_id long, text string"))
 

@@ -9,8 +9,6 @@ Long texts are worked off in chunks that overlap by FEW bytes, so only kept entr
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ K, W = 16, 16  # bytes of a gram; hashes of a window, a power of two
 CHUNK = 1024  # windows that are looked at at once
 PLACES = 32  # low bits of an entry, which hold its hash; its position is above them
 BLOCK_ROWS = 50_000  # documents that are ordered together
+STEP = 512  # bounds of blocks in a list
 FEW = K + W - 2  # bytes that two overlapping windows share, and the most of a text without a window
 NONE = "array<long>"
 
@@ -121,20 +120,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Adds `block`, a number that grows with (id, hash); about BLOCK_ROWS rows share one. Their bounds, 16 bytes for each
-    BLOCK_ROWS documents, are looked up in two steps: a short list in the plan, then a broadcast table of lists."""
-    spark, key = rows.sparkSession, ["id", "hash"]
-    keys = rows.select(*key)
-    n = max(2 * common.parts(spark), keys.count() // BLOCK_ROWS)
-    lows = keys.repartitionByRange(n, *key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*key)).alias("low")).select("low.*")
-    bounds = sorted(map(tuple, lows.collect()))[1:]
-    step = math.isqrt(len(bounds)) + 1
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    table = spark.createDataFrame(list(enumerate(groups)), "coarse int, lows array<struct<id:long,hash:long>>")
-    first = F.array(*[F.struct(F.lit(g[0][0]).cast("long").alias("id"), F.lit(g[0][1]).cast("long").alias("hash")) for g in groups]) if groups else F.array().cast("array<struct<id:long,hash:long>>")
-    own = F.struct("id", "hash")
-    below = lambda list_: F.size(F.filter(list_, lambda b: b <= own))
-    found = rows.withColumn("coarse", below(first) - 1).join(F.broadcast(table), "coarse", "left")
-    return found.withColumn("block", F.col("coarse").cast("long") * (step + 1) + F.coalesce(below(F.col("lows")), F.lit(0))).drop("coarse", "lows")
+    BLOCK_ROWS documents, are broadcast as lists of STEP and looked up in two steps."""
+    keys, key = rows.select("id", "hash"), F.struct("id", "hash")
+    n = max(2 * common.parts(rows.sparkSession), keys.count() // BLOCK_ROWS)
+    lows = common.stored(keys.repartitionByRange(n, "id", "hash").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low")))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("low"))  # over one small row for each block
+    table = lows.withColumn("i", number - 1).groupBy(F.floor(F.col("i") / STEP).alias("coarse")).agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    first = table.agg(F.sort_array(F.collect_list(F.col("lows")[0])).alias("firsts"))
+    below = lambda list_: F.size(F.filter(list_, lambda b: b <= key))
+    found = rows.join(F.broadcast(first)).withColumn("coarse", F.greatest(below("firsts") - 1, F.lit(0)).cast("long")).drop("firsts")
+    return found.join(F.broadcast(table), "coarse", "left").withColumn("block", F.col("coarse") * (STEP + 1) + F.coalesce(below("lows"), F.lit(0))).drop("coarse", "lows")
 
 
 def _ordered(rows: DataFrame) -> tuple[DataFrame, Window]:
