@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import odd_documents
-from vexel.llm import suffix
+from vexel.llm import common, suffix
 
 
 def brute(rows, length=50):
@@ -43,7 +43,7 @@ def test_suffix_array():
 def test_whole_table(spark, sf, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "BLOCK", 300_000)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 4000")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = sorted(map(tuple, suffix.removals(docs).collect()), key=str)
     assert got == brute(rows) and sum(g[2] for g in got)
@@ -67,3 +67,20 @@ def test_odd_rows(spark):
     cut = suffix.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert {r.text for r in cut.where("doc_id = 4").collect()} == {""}
+    assert [r.text for r in cut.where("doc_id = 2 or doc_id is null").orderBy("doc_id").collect()] == ["a text without an id", None]
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    base = "some passage that stands in the first document and in both of the others " * 2
+    rows = [(1, base, None, 1), (2, base + " AAAA first", [1, 2], 2), (2, base + " BBBB second", None, 3), (2, base + " BBBB second", None, 4), (None, base, [], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `odd name.x` array<int>, rest int")
+    got = sorted(suffix.without_repeats(docs).collect(), key=lambda r: r.rest)
+    assert [r.text for r in got] == [base, " AAAA first", " BBBB second", " BBBB second", base]
+    assert [tuple(r)[2:] for r in got] == [r[2:] for r in rows] and suffix.without_repeats(docs).schema == docs.schema
+
+
+def test_working_tables_can_be_dropped(spark):
+    mark, before = common.working(), spark.catalog.listTables()
+    assert suffix.removals(odd_documents(spark)).count() == 11 and len(spark.catalog.listTables()) > len(before)
+    common.release(spark, mark)
+    assert spark.catalog.listTables() == before and common.working() == mark

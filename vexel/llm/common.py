@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -21,14 +22,46 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Working folders and tables of this process that nobody has dropped yet.
+_working: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir, which all executors see; a default serves only local tests."""
+    """A new folder path under spark.checkpoint.dir, which all executors see. Only a local session may go without that
+    setting; on a cluster, a folder of one machine would lose rows."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="vexel-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/vexel-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/vexel-{uuid.uuid4().hex}"
+    _working.append(("folder", path))
+    return path
+
+
+def put_table(df: DataFrame, name: str, buckets: int, by: str) -> None:
+    """Stores df as a table that is bucketed and sorted by a column; its files are in the shared folder."""
+    writer = df.write.option("compression", "zstd").option("path", shared_dir(df.sparkSession)).bucketBy(buckets, by).sortBy(by)
+    writer.saveAsTable(name)
+    _working.append(("table", name))
+
+
+def working() -> int:
+    """A mark for release(): what is stored from now on comes after it."""
+    return len(_working)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Drops the working tables and folders stored since a mark, but for the folder `keep`. Operators give lazy results
+    that read them, so this is for when the results are written or no longer wanted."""
+    for kind, name in _working[since:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        elif name != keep:
+            dropped(spark, name)
+    _working[since:] = [("folder", keep)] if keep else []
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,10 +1,14 @@
 """Exact removal of repeated byte strings by a distributed difference-cover suffix array.
 
 Any two equal strings of LENGTH bytes have the same least hash of GRAM bytes at the same place (an anchor). So the
-suffixes to be sorted are partitioned by anchor: equal strings meet in one part. Only anchors that two documents share
-are followed, and of equal surroundings of an anchor (its context) only one copy is sorted. A part sorts its contexts'
-suffixes as the difference-cover algorithm (Kärkkäinen and Sanders 2003) does: it sorts the triples at the places that
-3 does not divide, recurses on their names, merges the other suffixes in, and compares the prefixes of neighbours.
+suffixes to be sorted are partitioned by anchor: equal strings meet in one part. Only anchors that two documents may share
+are followed; their surroundings (contexts) are sent to the parts, and of equal ones, by their bytes, one is sorted. A
+part sorts its contexts' suffixes as the difference-cover algorithm (Kärkkäinen and Sanders 2003) does: it sorts the
+triples at the places that 3 does not divide, recurses on their names, merges the other suffixes in, and compares the
+prefixes of neighbours. Hashes only say who meets whom; bytes decide.
+
+An anchor with very many occurrences would make a part too large. Its strings are grouped as rows instead: each block
+gives every distinct one once, with its least document, and Spark's partial sums find the least of all.
 
 Documents are packed into blocks that are stored bucketed by block; only hashes, contexts and verdicts are shuffled.
 """
@@ -17,7 +21,6 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ GRAM = 24
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind a string that holds it
 BLOCK = 4 << 20  # bytes of text in a block
 PIECE = 1 << 18  # strings looked at at once
-HOT = 4096  # contexts of one anchor that are sorted together; those of hotter anchors are dealt by string
+HOT = 4096  # occurrences of an anchor whose contexts are sorted in one part; strings of hotter ones are grouped as rows
+ROWS = 20_000  # strings in one batch
 BLOCKS = "block string, doc_id array<long>, lens array<long>, text binary"
 PLACE = np.uint64(0xFFFFFF)
 
@@ -172,15 +176,39 @@ def earlier(records: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> np.ndarr
     return np.bincount(of[hit], weights=2.0 ** (hit - starts[of[hit]]), minlength=len(lens)).astype(np.uint32)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Blocks of documents; `whole` ones have the other columns, too, and whether the text was null, as an Arrow stream."""
+    others = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    rest = F.struct(*others, docs[f"`{text_col}`"].isNull().alias("none"))
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        text = rows.column("text").to_pylist()
+        row = [uuid.uuid4().hex, rows.column("id").to_pylist(), [len(t) for t in text], b"".join(text)]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        if whole:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, (kept := rows.select(["rest"])).schema) as stream:
+                stream.write_table(kept)
+            row.append(out.getvalue().to_pybytes())
+            kinds.append(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["block", "doc_id", "lens", "text", "rest"][: len(row)])
+
     def run(batches):
-        for held in common.buffered(batches, BLOCK):
-            row = [uuid.uuid4().hex, held["id"], [len(t) for t in held["text"]], b"".join(held["text"])]
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["block", "doc_id", "lens", "text"])
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += sum(map(len, batch.column(1).to_pylist()))
+            if n >= BLOCK:
+                yield block(held)
+                held, n = [], 0
+        if n or sum(b.num_rows for b in held):
+            yield block(held)
 
     common.small_batches(docs.sparkSession)
-    return common.keyed(docs, id_col, text_col).mapInArrow(run, BLOCKS)
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary")
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), text.alias("text"), *([rest.alias("rest")] if whole else []))
+    return rows.mapInArrow(run, BLOCKS + (", rest binary" if whole else ""))
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -200,7 +228,7 @@ def _dealt(block: str, part: np.ndarray, columns: list[tuple[np.ndarray, np.ndar
         else:
             v, at = common.ragged(flat, (np.cumsum(lens) - lens)[by], lens[by]), np.append(0, np.cumsum(lens[by]))[cuts]
         out.append(pa.array([v[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.string()), *out], ["part", "block", *"abc"[: len(out)]])
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.string()), *out], ["part", "block", *"abcd"[: len(out)]])
 
 
 def _gathered(got: list | None, part: np.ndarray, dtype) -> np.ndarray:
@@ -212,96 +240,109 @@ def _gathered(got: list | None, part: np.ndarray, dtype) -> np.ndarray:
     return out
 
 
+def distinct(flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of byte strings that stand end to end: the place of the first of each distinct one, and for each which it is."""
+    ends = np.append(0, np.cumsum(lens)).astype(np.int64)
+    strings = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+    which = strings.dictionary_encode().indices.to_numpy()
+    n = int(which.max(initial=-1)) + 1
+    first = np.empty(n, np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return first, which
+
+
 class Block:
     """A block's anchors, and what is known of them."""
 
     def __init__(self, row: dict, parts: int):
         self.row, self.parts = row, parts
-        self.text = np.frombuffer(row.get("text", b""), np.uint8)
+        self.text = np.frombuffer(row["text"], np.uint8)
         self.lens = np.array(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
         known = np.array([i is not None for i in row["doc_id"]], bool)
         self.ids = np.array([i or 0 for i in row["doc_id"]], np.int64)
         if "at" in row:  # share() was there before
-            self.at, self.hash, self.context = (np.frombuffer(row[c], k) for c, k in (("at", "<i8"), ("hash", np.uint64), ("context", np.uint64)))
-            self.follow()
+            self.at, self.hash, hot = (np.frombuffer(row[c], k) for c, k in (("at", "<i8"), ("hash", np.uint64), ("hot", np.uint8)))
+            self.follow(hot > 0)
         else:
             self.at, self.hash = anchors(self.text, self.starts[known], self.ends[known])
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct anchors, which of them each place has, and whether documents of this block share them."""
-        keys, which = np.unique(self.hash, return_inverse=True)
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct anchors, which of them each place has, how often they occur, and whether documents of this block
+        share them."""
+        keys, which, n = np.unique(self.hash, return_inverse=True, return_counts=True)
         doc = self.ids[self.doc(self.at)]
         low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
         np.minimum.at(low, which, doc)
         np.maximum.at(high, which, doc)
-        return keys, which, low < high
+        return keys, which, n, low < high
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, "right")
 
     def share(self) -> list[bytes]:
-        """The anchors that documents share: places, hashes and hashes of their contexts."""
-        keys, which, _ = self.keys()
-        keep = _gathered(self.row["r1"], _part(keys, self.parts), np.uint8)[which] > 0
-        self.at, self.hash = self.at[keep], self.hash[keep]
-        low, high = self.bounds()
-        text = self.row["text"]
-        context = np.fromiter((xxhash.xxh64_intdigest(text[a:b], p - a) for p, a, b in zip(self.at.tolist(), low.tolist(), high.tolist())), np.uint64, len(self.at))
-        return [self.at.astype("<i8").tobytes(), self.hash.tobytes(), context.tobytes()]
-
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Begins and ends of the contexts."""
+        """The anchors that documents share: places, hashes, and whether they are hot."""
+        keys, which, _, _ = self.keys()
+        answer = _gathered(self.row["r1"], _part(keys, self.parts), np.uint8)[which]
+        keep = answer > 0
+        return [self.at[keep].astype("<i8").tobytes(), self.hash[keep].tobytes(), (answer[keep] > 1).astype(np.uint8).tobytes()]
+
+    def follow(self, hot: np.ndarray) -> None:
+        """Puts equal contexts of equal anchors together, as entries with their least documents; likewise the distinct
+        strings of hot anchors."""
         doc = self.doc(self.at)
-        return np.maximum(self.starts[doc], self.at - REACH), np.minimum(self.ends[doc], self.at + LENGTH)
-
-    def follow(self) -> None:
-        """Puts equal contexts of equal anchors together: an entry, with its least document, for each."""
-        self.of = self.ids[self.doc(self.at)]
-        self.low, self.high = self.bounds()
-        both = (self.hash ^ (self.context >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) ^ self.context
-        _, first, self.entry = np.unique(both, return_index=True, return_inverse=True)
-        self.context = self.context[first]
-        self.least = np.full(len(first), np.iinfo(np.int64).max)
+        of, low = self.ids[doc], np.maximum(self.starts[doc], self.at - REACH)
+        size = np.minimum(self.ends[doc], self.at + LENGTH) - low
+        self.of, self.low, self.size, hash_ = of[~hot], low[~hot], size[~hot], self.hash[~hot]
+        _, which = distinct(common.ragged(self.text, self.low, self.size), self.size)
+        by = np.lexsort((which, hash_))
+        new = np.append(True, (np.diff(which[by]) != 0) | (hash_[by][1:] != hash_[by][:-1]))[: len(by)]
+        self.entry = np.empty(len(by), np.int64)
+        self.entry[by] = np.cumsum(new) - 1
+        self.first = by[new]
+        self.least = np.full(len(self.first), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.entry, self.of)
-        self.first = first.copy()
-        own = np.flatnonzero(self.of == self.least[self.entry])
-        self.first[self.entry[own]] = own  # a place in the least document
-        self.entry_part = _part(self.hash[self.first], self.parts)
-
-    def judge(self) -> None:
-        """Finds the contexts whose bytes are to be sorted: whole ones, and string by string those of hot anchors."""
-        self.verdict = _gathered(self.row["r2"], self.entry_part, np.uint8)
-        need = np.flatnonzero((self.verdict & 3) == 2)
-        hot = (self.verdict[need] & 4) > 0
-        first = self.first[need]
-        low, size = self.low[first], (self.high - self.low)[first]
-        strings = np.where(hot, np.maximum(size - LENGTH + 1, 0), 1)
-        self.record_entry = np.repeat(need, strings)
-        self.shift = np.arange(len(self.record_entry)) - np.repeat(np.cumsum(strings) - strings, strings)
-        self.record_low = np.repeat(low, strings) + self.shift
-        self.record_len = np.where(np.repeat(hot, strings), LENGTH, np.repeat(size, strings))
-        self.record_part = self.entry_part[self.record_entry]
-        text = self.row["text"]
-        for i in np.flatnonzero(np.repeat(hot, strings)).tolist():
-            a = int(self.record_low[i])
-            self.record_part[i] = xxhash.xxh32_intdigest(text[a : a + LENGTH]) % self.parts
+        self.entry_hash = hash_[self.first]
+        self.entry_part = _part(self.entry_hash, self.parts)
+        strings = np.maximum(size[hot] - LENGTH + 1, 0)
+        self.hot_low = np.repeat(low[hot], strings) + np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+        self.hot_of = np.repeat(of[hot], strings)
+        self.hot_low, unique = np.unique(self.hot_low, return_index=True)
+        self.hot_of = self.hot_of[unique]
+        self.hot_first, self.hot_which = self.distinct_strings(self.hot_low)
+        self.hot_least = np.full(len(self.hot_first), np.iinfo(np.int64).max)
+        np.minimum.at(self.hot_least, self.hot_which, self.hot_of)
+
+    def distinct_strings(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """distinct() of strings of LENGTH bytes, in pieces, as their bytes would be 50 times the text."""
+        first, which = np.zeros(0, np.int64), np.zeros(len(low), np.int64)
+        for at in range(0, len(low), PIECE):
+            part = low[at : at + PIECE]
+            both = np.append(low[first], part)
+            f, w = distinct(common.ragged(self.text, both, np.full(len(both), LENGTH)), np.full(len(both), LENGTH))
+            which[at : at + PIECE] = w[len(first) :]
+            first = np.append(first, f[len(first) :] - len(first) + at)
+        return first, which
 
     def removed(self) -> np.ndarray:
         """Whether each byte goes."""
-        masks = _gathered(self.row["r3"], self.record_part, np.uint32)
-        by_entry = np.zeros(len(self.first), np.uint32)
-        np.bitwise_or.at(by_entry, self.record_entry, masks << self.shift.astype(np.uint32))
+        masks = _gathered(self.row["r2"], self.entry_part, np.uint32)[self.entry]
         cover = np.zeros(len(self.text) + 1, np.int32)
-        whole = ((self.verdict[self.entry] & 1) > 0) | (self.of > self.least[self.entry])
-        np.add.at(cover, self.low[whole], 1)
-        np.add.at(cover, self.high[whole], -1)
-        rest = ~whole & (by_entry[self.entry] > 0)
+
+        def add(low, size):
+            np.add.at(cover, low, 1)
+            np.add.at(cover, low + size, -1)
+
+        whole = self.of > self.least[self.entry]
+        add(self.low[whole], self.size[whole])
         for bit in range(REACH + 1):
-            a = self.low[rest][(by_entry[self.entry[rest]] >> np.uint32(bit) & 1) > 0] + bit
-            np.add.at(cover, a, 1)
-            np.add.at(cover, a + LENGTH, -1)
+            own = ~whole & ((masks >> np.uint32(bit) & 1) > 0) & (bit + LENGTH <= self.size)
+            add(self.low[own] + bit, LENGTH)
+        earlier_ = np.zeros(len(self.hot_first), bool)
+        earlier_[self.row["r3"] or []] = True
+        gone = earlier_[self.hot_which] | (self.hot_of > self.hot_least[self.hot_which])
+        add(self.hot_low[gone], LENGTH)
         return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
@@ -314,38 +355,36 @@ def _back(pdf: pd.DataFrame, values: np.ndarray, cuts: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [x.tobytes() for x in np.split(values, cuts)]})
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which anchors two documents share: in one block, or as two blocks have them."""
+def _shared(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Which anchors two documents share, in one block or as two blocks have them: 1, or 2 if they occur
+    more than `most` times. Hashes are cut
+    to 32 bits here, so some are followed in vain."""
     keys, cuts = _arrays(pdf, "a", np.uint32)
-    within, _ = _arrays(pdf, "b", np.uint8)
-    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return _back(pdf, ((n[which] > 1) | (within > 0)).astype(np.uint8), cuts)
-
-
-def _verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each context of an anchor: 1 if a smaller document has it, 2 if the anchor has others, 4 if very many."""
-    h, cuts = _arrays(pdf, "a", np.uint64)
-    c, _ = _arrays(pdf, "b", np.uint64)
-    doc, _ = _arrays(pdf, "c", np.int64)
-    if not len(h):
-        return _back(pdf, np.zeros(0, np.uint8), cuts)
-    by = np.lexsort((doc, c, h))
-    hs, cs = h[by], c[by]
-    new_h = np.append(True, hs[1:] != hs[:-1])
-    new = new_h | np.append(True, cs[1:] != cs[:-1])
-    least = doc[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-    contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-    out = np.empty(len(h), np.uint8)
-    out[by] = (doc[by] > least) | (contexts > 1).astype(np.uint8) << 1 | (contexts > HOT).astype(np.uint8) << 2
-    return _back(pdf, out, cuts)
+    n, _ = _arrays(pdf, "b", np.uint16)
+    within, _ = _arrays(pdf, "c", np.uint8)
+    _, which, blocks = np.unique(keys, return_inverse=True, return_counts=True)
+    hot = np.bincount(which, weights=n) > most
+    two = np.bincount(which, weights=within) + (blocks > 1) > 0
+    return _back(pdf, (two.astype(np.uint8) + (two & hot))[which].astype(np.uint8), cuts)
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sorts the suffixes of a part's contexts and marks their strings."""
-    records, _ = _arrays(pdf, "a", np.uint8)
+    """Marks the strings of each record that smaller documents have: of equal records that of the least document is
+    sorted with the others, unless its anchor has no other contexts."""
+    flat, _ = _arrays(pdf, "a", np.uint8)
     lens, cuts = _arrays(pdf, "b", np.uint8)
+    lens = lens.astype(np.int64)
     doc, _ = _arrays(pdf, "c", np.int64)
-    return _back(pdf, earlier(records, lens.astype(np.int64), doc), cuts)
+    anchor, _ = _arrays(pdf, "d", np.uint32)
+    first, which = distinct(flat, lens)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    _, group, n = np.unique(anchor[first], return_inverse=True, return_counts=True)
+    several = n[group] > 1
+    masks = np.zeros(len(first), np.uint32)
+    starts, own = (np.cumsum(lens) - lens)[first[several]], lens[first[several]]
+    masks[several] = earlier(common.ragged(flat, starts, own), own, least[several])
+    return _back(pdf, np.where(doc > least[which], np.uint32(0xFFFFFFFF >> (31 - REACH)), masks[which]).astype(np.uint32), cuts)
 
 
 def _round(known: DataFrame, name: str, buckets: int, parts: int, k: int, ask, answer, columns: str) -> DataFrame:
@@ -361,64 +400,83 @@ def _round(known: DataFrame, name: str, buckets: int, parts: int, k: int, ask, a
     asked = known.mapInArrow(run, "part int, block string, " + ", ".join(f"{c} binary" for c in columns))
     answers = asked.groupBy("part").applyInPandas(answer, "part int, block string, data binary")
     own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias(f"r{k}"))
-    own.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(f"{name}_{k}")
-    return known.join(spark.table(f"{name}_{k}"), "block", "left")
+    return known.join(_put(own, f"{name}_{k}", buckets), "block", "left")
 
 
 def _ask_shared(b: Block) -> pa.RecordBatch:
-    keys, _, within = b.keys()
-    return _dealt(b.row["block"], _part(keys, b.parts), [((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), None), (within.astype(np.uint8), None)])
+    keys, _, n, within = b.keys()
+    return _dealt(b.row["block"], _part(keys, b.parts), [((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), None), (np.minimum(n, 0xFFFF).astype(np.uint16), None), (within.astype(np.uint8), None)])
 
 
-def _ask_verdicts(b: Block) -> pa.RecordBatch:
-    return _dealt(b.row["block"], b.entry_part, [(b.hash[b.first], None), (b.context, None), (b.least, None)])
+def _ask_sorted(b: Block) -> pa.RecordBatch:
+    low, size = b.low[b.first], b.size[b.first]
+    short = (b.entry_hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _dealt(b.row["block"], b.entry_part, [(common.ragged(b.text, low, size), size), (size.astype(np.uint8), None), (b.least, None), (short, None)])
 
 
-def _ask_sorted(b: Block) -> pa.RecordBatch:
-    b.judge()
-    flat = common.ragged(b.text, b.record_low, b.record_len)
-    return _dealt(b.row["block"], b.record_part, [(flat, b.record_len), (b.record_len.astype(np.uint8), None), (b.least[b.record_entry], None)])
+def _put(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Stores df bucketed by block, as a table in the shared folder."""
+    common.put_table(df, name, buckets, "block")
+    return df.sparkSession.table(name)
 
 
 def _shared_anchors(known: DataFrame, name: str, buckets: int, parts: int) -> DataFrame:
     """Stores the shared anchors of each block in its bucket."""
-    spark = known.sparkSession
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 columns = [row["block"], *Block(row, parts).share()]
-                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["block", "at", "hash", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["block", "at", "hash", "hot"])
+
+    return _put(known.mapInArrow(run, "block string, at binary, hash binary, hot binary"), f"{name}_shared", buckets)
 
-    out = known.mapInArrow(run, "block string, at binary, hash binary, context binary")
-    out.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(f"{name}_shared")
-    return spark.table(f"{name}_shared")
 
+def _hot_strings(known: DataFrame, name: str, buckets: int, parts: int) -> DataFrame:
+    """Stores for each block which of its hot strings smaller documents of other blocks have. A block gives a string
+    once, the least document is a partial sum, and a frequent string's rows can be dealt anew by the skewed join."""
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row, parts)
+                low = b.hot_low[b.hot_first]
+                for at in range(0, len(low), ROWS):
+                    part = low[at : at + ROWS]
+                    strings = pa.array([row["text"][a : a + LENGTH] for a in part.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int32()), strings, pa.array(b.hot_least[at : at + ROWS])], ["block", "i", "s", "doc"])
+
+    hot = known.mapInArrow(run, "block string, i int, s binary, doc long")
+    least = hot.groupBy("s").agg(F.min("doc").alias("least"))
+    found = hot.join(least, "s").where("doc > least").groupBy("block").agg(F.collect_list("i").alias("r3"))
+    return _put(found, f"{name}_hot", buckets)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> tuple[DataFrame, int]:
     """The blocks with all that is known of their anchors, and the number of parts."""
     spark = docs.sparkSession
     name = f"vexel_suffix_{uuid.uuid4().hex}"
     buckets = 2 * common.parts(spark)
-    pack(docs, id_col, text_col).write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    blocks = spark.table(name)
+    stored = _put(pack(docs, id_col, text_col, whole), name, buckets)
+    blocks = stored.drop("rest")
     size = blocks.select(F.sum(F.length("text"))).first()[0] or 0
     parts = int(max(buckets, size >> 22))
-    exchange = lambda known, *x: _round(known, name, buckets, parts, *x)
-    shared = _shared_anchors(exchange(blocks, 1, _ask_shared, _shared, "ab"), name, buckets, parts)
-    verdicts = exchange(blocks.drop("text").join(shared, "block"), 2, _ask_verdicts, _verdicts, "abc").select("block", "r2")
-    return exchange(blocks.join(shared, "block").join(verdicts, "block", "left"), 3, _ask_sorted, _sorted, "abc"), parts
+    most = HOT
+    shared = _shared_anchors(_round(blocks, name, buckets, parts, 1, _ask_shared, lambda pdf: _shared(pdf, most), "abc"), name, buckets, parts)
+    followed = blocks.join(shared, "block")
+    hot = _hot_strings(followed, name, buckets, parts)
+    masks = _round(followed, name, buckets, parts, 2, _ask_sorted, _sorted, "abcd").select("block", "r2")
+    return stored.join(shared, "block").join(masks, "block", "left").join(hot, "block", "left"), parts
 
 
-def _documents(known: DataFrame, parts: int, schema: str, result) -> DataFrame:
-    """result(ids, text, removed, starts, ends) makes the columns of a block's documents."""
+def _documents(known: DataFrame, parts: int, schema, result) -> DataFrame:
+    """result(block, removed) makes the rows of a block's documents."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row, parts)
-                b.judge()
-                yield result(row["doc_id"], row["text"], b.removed(), b.starts.tolist(), b.ends.tolist())
+                yield result(b, b.removed())
 
     known.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return known.mapInArrow(run, schema)
@@ -434,15 +492,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id; strings are
     judged on the input and don't cross documents. Null text counts as empty. Rows of equal ids remove nothing from
-    one another; rows without an id are left as they are and remove nothing. Anchors and contexts are told apart by
-    64-bit hashes, the sorted strings by their bytes.
+    one another; rows without an id are left as they are and remove nothing. Other columns are ignored.
     """
 
-    def result(ids, text, removed, starts, ends):
-        n = [int(removed[a:b].sum()) for a, b in zip(starts, ends)]
-        spans = [int((np.diff(removed[a:b].view(np.int8), prepend=0) == 1).sum()) if k else 0 for k, a, b in zip(n, starts, ends)]
-        kept = [hashlib.sha256(_kept(text, removed, a, b)).hexdigest() for a, b in zip(starts, ends)]
-        columns = [pa.array(ids, pa.int64()), pa.array([b - a for a, b in zip(starts, ends)], pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept)]
+    def result(block: Block, removed: np.ndarray) -> pa.RecordBatch:
+        text, spans_of = block.row["text"], list(zip(block.starts.tolist(), block.ends.tolist()))
+        n = [int(removed[a:b].sum()) for a, b in spans_of]
+        spans = [int((np.diff(removed[a:b].view(np.int8), prepend=0) == 1).sum()) if k else 0 for k, (a, b) in zip(n, spans_of)]
+        kept = [hashlib.sha256(_kept(text, removed, a, b)).hexdigest() for a, b in spans_of]
+        columns = [pa.array(block.row["doc_id"], pa.int64()), pa.array(block.lens), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     known, parts = _marked(docs, id_col, text_col)
@@ -452,15 +510,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of their texts; what is left of a character that was cut goes, too.
 
-    Only documents that lose bytes are joined back by id: where ids repeat, so must the texts. Columns as they were.
+    Each row travels with its block and comes out once, with all its columns as they were, whatever its id: nothing is
+    joined back. Null texts stay null.
     """
+    names = docs.columns
 
-    def result(ids, text, removed, starts, ends):
-        own = [(i, _kept(text, removed, a, b).decode("utf-8", "ignore")) for i, a, b in zip(ids, starts, ends) if removed[a:b].any()]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([t for _, t in own], pa.string())], ["vexel_id", "vexel_text"])
+    def result(block: Block, removed: np.ndarray) -> pa.RecordBatch:
+        rest = pa.ipc.open_stream(block.row["rest"]).read_all().combine_chunks().column("rest").chunk(0)
+        none = rest.field("none").to_pylist()
+        texts = [None if x else _kept(block.row["text"], removed, a, b).decode("utf-8", "ignore") for x, a, b in zip(none, block.starts.tolist(), block.ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else rest.field(f"c{i}") for i, c in enumerate(names)], names)
 
-    known, parts = _marked(docs, id_col, text_col)
-    cut = _documents(known, parts, "vexel_id long, vexel_text string", result).dropDuplicates(["vexel_id"])
-    joined = docs.join(cut, docs[id_col] == cut["vexel_id"], "left")
-    text = F.coalesce("vexel_text", docs[text_col]).alias(text_col)
-    return joined.select(*[text if c == text_col else docs[c] for c in docs.columns])
+    known, parts = _marked(docs, id_col, text_col, whole=True)
+    return _documents(known, parts, docs.schema, result)
