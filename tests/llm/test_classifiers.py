@@ -39,6 +39,40 @@ def test_quality_on_rows_not_learnt(spark, sf):
     assert sum(p == t for p, t in rest) / len(rest) >= 0.9
 
 
+def test_quality_rounds_by_brute_force(spark):
+    """Co-training with all rows in memory: the surest guesses over all unlabelled documents, round by round."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in quality.scores(docs, labels).collect()}
+    rows = sorted(docs.select("doc_id", "text", "lang", "source").collect())
+    known = {r.doc_id: r for r in labels.selectExpr("doc_id", "quality", "pmod(xxhash64(doc_id, 5), 4) = 0 AS held").collect()}
+    xs = [np.array([quality.content(r.text.encode()) for r in rows], np.float32), np.array([quality.metadata(r.text.encode(), r.lang, r.source) for r in rows], np.float32)]
+    whole = [x.astype(float) for x in xs]
+    y = np.array([known[r.doc_id].quality if r.doc_id in known else -1 for r in rows])
+    held = np.array([r.doc_id in known and known[r.doc_id].held for r in rows])
+    taken = [np.where((y >= 0) & ~held, y, -1) for _ in xs]
+    views = [quality.View(), quality.View()]
+    for turn in range(quality.ROUNDS + 1):
+        for v, view in enumerate(views):
+            view.fit(xs[v][taken[v] >= 0], taken[v][taken[v] >= 0])
+        if turn < quality.ROUNDS:
+            z = [view.margin(x) for view, x in zip(views, whole)]
+            for v in (0, 1):
+                order = [i for i in np.argsort(z[1 - v], kind="stable") if y[i] < 0 and taken[v][i] < 0]
+                low, high = order[: quality.GIVEN // 2], order[::-1][: quality.GIVEN // 2]
+                taken[v][[i for i in low if z[1 - v][i] < 0]] = 0
+                taken[v][[i for i in high if z[1 - v][i] > 0]] = 1
+    own, share = y[held], y[y >= 0].mean()
+    weight = np.where(own == 1, share / own.sum(), (1 - share) / (len(own) - own.sum()))
+    for view, x in zip(views, xs):
+        view.calibrate(x[held], own, weight)
+    margins = np.array([view.margin(x[held]) for view, x in zip(views, xs)])
+    model = quality.Classifier(views, *quality.linear.logistic(margins.T, own, weight, l2=1e-4))
+    want = model.scores(whole)
+    assert max(abs(got[r.doc_id].score - want[2][i]) for i, r in enumerate(rows)) < 0.02
+    assert sum((got[r.doc_id].score >= 0.5) != (want[2][i] >= 0.5) for i, r in enumerate(rows)) <= 1
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 0, 1), (7, 0, 0), (None, 1, 1), (9, None, None), (8, 1, 0)], "doc_id long, quality int, toxic int")

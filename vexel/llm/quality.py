@@ -1,8 +1,8 @@
 """Quality classifier by co-training (Blum and Mitchell 1998).
 
 One view is the text's content (hashed byte trigrams), the other the page's metadata: language, source, length and
-layout. From a labelled sample either view learns a logistic classifier; over some rounds each gives its most confident
-guesses on unlabelled documents to the other as labels. Both are calibrated on labelled rows that were held back, and
+layout. From a labelled sample either view learns a logistic classifier; over some rounds each scores all unlabelled
+documents and gives its most confident guesses to the other as labels. Both are calibrated on labelled rows that were held back, and
 the calibrated views together score every document.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from . import common, linear
 
 PER_CLASS = 1500  # labelled documents of each class
-POOL = 2000  # unlabelled documents, the first by a hash
 ROUNDS, GIVEN = 4, 60  # guesses that a view gives in a round, half of them of each class
 DIMS, HASHED = 2048, 32
 SLICE = 1 << 20
@@ -60,7 +59,7 @@ class View:
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-3
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(x.dtype)
-        self.w, self.b = linear.logistic((x - self.mean) / self.sd, y, weight, l2=1e-2, steps=100, rate=0.03)
+        self.w, self.b = linear.logistic((x - self.mean) / self.sd, y, weight, l2=1e-2, steps=200, rate=0.03)
         self.scale = 1.0, 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -85,28 +84,22 @@ class Classifier:
         return linear.sigmoid(np.vstack((z, self.mix @ z + self.bias)))
 
 
-def cotrain(xs: list[np.ndarray], y: np.ndarray, held: np.ndarray, share: float, rounds: int = ROUNDS, given: int = GIVEN) -> Classifier:
-    """y: 1, 0, or -1 for unlabelled rows; held: labelled rows that only calibrate."""
-    known = (y >= 0) & ~held
-    own = y[held]
+def cotrain(xs: list[np.ndarray], y: np.ndarray, held: np.ndarray, share: float, guess, rounds: int = ROUNDS) -> Classifier:
+    """y: 1 or 0; held: rows that only calibrate. guess(views, given), where given[v] are the ids that view v was given
+    before, returns for each view what it is given now: ids, labels and features of that view."""
+    known, own = ~held, y[held]
     if not 0 < y[known].sum() < known.sum() or not 0 < own.sum() < len(own):
         return Classifier(None, np.zeros(2), float(np.log(share / (1 - share))))
-    views = [View(), View()]
-    labels = [np.where(known, y, -1) for _ in views]  # what each view learns from
+    views, given = [View(), View()], [[], []]
+    learnt = [(x[known], y[known]) for x in xs]
     for turn in range(rounds + 1):
-        for v, view in enumerate(views):
-            at = labels[v] >= 0
-            view.fit(xs[v][at], labels[v][at])
+        for view, (x, label) in zip(views, learnt):
+            view.fit(x, label)
         if turn == rounds:
             break
-        for v, view in enumerate(views):
-            other = labels[1 - v]
-            free = np.flatnonzero((y < 0) & (other < 0))
-            z = view.margin(xs[v][free])
-            order = np.argsort(z, kind="stable")
-            low, high = order[: given // 2], order[::-1][: given // 2]
-            other[free[low[z[low] < 0]]] = 0
-            other[free[high[z[high] > 0]]] = 1
+        for v, (ids, labels, x) in enumerate(guess(views, given)):
+            given[v] += ids
+            learnt[v] = np.concatenate((learnt[v][0], x)), np.append(learnt[v][1], labels)
     weight = np.where(own == 1, share / own.sum(), (1 - share) / (len(own) - own.sum()))  # as frequent as among all labels
     for view, x in zip(views, xs):
         view.calibrate(x[held], own, weight)
@@ -125,29 +118,73 @@ def _features(batch) -> list[np.ndarray]:
     return [np.array([content(t) for t in texts]).reshape(-1, DIMS), np.array([metadata(*x) for x in zip(texts, langs, sources)]).reshape(-1, LAYOUT + 2 * HASHED)]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, **columns) -> Classifier:
-    """Learns from at most `per_class` labelled documents of each class and `pool` unlabelled ones; of the labelled ones
-    a quarter calibrates. The features of these rows only come to the driver."""
+def _stored_features(rows: DataFrame) -> DataFrame:
+    """(id, c binary, m binary, ...): the features of either view as bytes, with the columns after the four of _rows."""
+    rest = [f for f in rows.schema.fields[4:]]
+
+    def run(batches):
+        for b in batches:
+            xs = [x.astype(np.float32) for x in _features(b)]
+            bytes_ = [pa.array([r.tobytes() for r in x], pa.binary()) for x in xs]
+            yield pa.RecordBatch.from_arrays([b.column(0), *bytes_, *(b.column(4 + i) for i in range(len(rest)))], ["id", "c", "m", *(f.name for f in rest)])
+
+    return rows.mapInArrow(run, "id long, c binary, m binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest))
+
+
+def _matrix(column, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), dims)
+
+
+def _guesses(rows: DataFrame, labels: DataFrame, each: int):
+    """What cotrain() asks for: in each round all unlabelled documents are scored by both views, and of each view and
+    class the `each` surest ones (of an id with several rows, by its mean margin) go to the other view."""
+    spark = rows.sparkSession
+
+    def guess(views: list[View], given: list[list[int]]):
+        shared = spark.sparkContext.broadcast(views)
+
+        def run(batches):
+            for b in batches:
+                z = [v.margin(x) for v, x in zip(shared.value, _features(b))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, z)], ["id", "z0", "z1"])
+
+        margins = rows.where("id is not null").mapInArrow(run, "id long, z0 double, z1 double")
+        margins = margins.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti")
+        margins = common.stored(margins.groupBy("id").agg(F.avg("z0").alias("z0"), F.avg("z1").alias("z1")))
+        wanted: list[dict[int, int]] = []  # for each view, from the other one
+        for v in (0, 1):
+            free, z = margins.where(~F.col("id").isin(given[v])) if given[v] else margins, F.col(f"z{1 - v}")
+            bad = free.where(z < 0).orderBy(z, "id").limit(each).collect()
+            good = free.where(z > 0).orderBy(-z, "id").limit(each).collect()
+            wanted.append({r.id: 0 for r in bad} | {r.id: 1 for r in good})
+        ids = sorted(set(wanted[0]) | set(wanted[1]))
+        chosen = rows.where(F.col("id").isin(ids)) if ids else rows.limit(0)
+        got = _stored_features(chosen).groupBy("id").agg(F.min(F.struct("c", "m")).alias("x")).select("id", "x.c", "x.m").collect()
+        shared.destroy()
+        at = {r.id: r for r in got}
+        for v, (name, dims) in enumerate((("c", DIMS), ("m", LAYOUT + 2 * HASHED))):
+            own = [i for i in wanted[v] if i in at]
+            yield own, [wanted[v][i] for i in own], _matrix([at[i][name] for i in own], dims)
+
+    return guess
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = ROUNDS, given: int = GIVEN, **columns) -> Classifier:
+    """Learns from at most `per_class` labelled documents of each class, of which a quarter calibrates, and from `given`
+    guesses of each view in each round, taken from all unlabelled documents. The features of these rows only come to the
+    driver."""
     wanted = linear.sampled(labels, "quality", per_class)
     share = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
     share = min(max(0.5 if share is None else float(share), 1e-3), 1 - 1e-3)
     rows = _rows(docs, **columns)
-    ids = rows.select("id").where("id is not null").join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti").orderBy(F.xxhash64("id", F.lit(23)), "id").limit(pool).distinct()
-    chosen = wanted.select(F.col("doc_id").alias("id"), "label").unionByName(ids.withColumn("label", F.lit(-1)))
+    chosen = wanted.select(F.col("doc_id").alias("id"), "label")
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "lang", "source", "label", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)).alias("q"))
-
-    def run(batches):
-        for b in batches:
-            xs = [x.astype(np.float32) for x in _features(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()) for x in xs] + [b.column(4), b.column(5)], ["c", "m", "label", "q"])
-
-    got = sample.mapInArrow(run, "c binary, m binary, label int, q long").toPandas()
-    xs = [np.frombuffer(b"".join(got[c]), np.float32).reshape(len(got), n) for c, n in (("c", DIMS), ("m", LAYOUT + 2 * HASHED))]
-    y = got["label"].to_numpy()
-    return cotrain(xs, y, (got["q"].to_numpy() == 0) & (y >= 0), share)
+    got = _stored_features(sample).toPandas()
+    xs = [_matrix(got["c"], DIMS), _matrix(got["m"], LAYOUT + 2 * HASHED)]
+    return cotrain(xs, got["label"].to_numpy(), got["q"].to_numpy() == 0, share, _guesses(rows, labels, given // 2), rounds)
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_class: int = PER_CLASS, pool: int = POOL) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, content_score, metadata_score, score, keep (score >= 0.5) for each row of docs.
 
     Null texts count as empty, null language or source as a name of its own; labels that are null or not 0 or 1 are not
@@ -155,7 +192,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     common.small_batches(docs.sparkSession)
     columns = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col, "source_col": source_col}
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, pool, **columns))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, **columns))
 
     def run(batches):
         for batch in batches:
@@ -166,11 +203,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumn("keep", F.col("score") >= 0.5)
 
 
-def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_class: int = PER_CLASS, pool: int = POOL) -> DataFrame:
+def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_class: int = PER_CLASS) -> DataFrame:
     """The rows of docs that the classifier doesn't reject (score >= 0.5), with all columns as they were; no shuffle."""
     common.small_batches(docs.sparkSession)
     columns = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col, "source_col": source_col}
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, pool, **columns))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, **columns))
     at = [docs.columns.index(c) for c in (id_col, text_col, lang_col, source_col)]
 
     def run(batches):
