@@ -61,3 +61,56 @@ def test_odd_pages(spark, model):
 def test_references_and_white_space(model):
     page = "<html><body><nav><ul><li><a href=/>home</a></ul></nav><article><h1>A &lt;b&gt;</h1><p>one\n two&nbsp;&amp; three<br>four</p><p>" + "long text " * 30 + "</p></article></body></html>"
     assert html.main_texts(model, [page])[0].split("\n")[:2] == ["A <b>", "one two & three four"]
+
+
+LONG = "the story goes on and on in this paragraph, which has many words as paragraphs of stories do. " * 3
+
+
+def page_of(article, menu="<nav><ul><li><a href=/>home</a></li><li><a href=/b>news</a></li></ul></nav>"):
+    return f"<!DOCTYPE html><html><head><title>t</title></head><body>{menu}<article><h1>Head line</h1><p>{LONG}</p>{article}<p>last words of it</p></article><footer>copyright</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("piece", "kept"),
+    [
+        ('<svg class="i"/>', ""), ("<template/>", ""), ("<iframe/>", ""), ('<iframe src="a">fallback</iframe>', ""), ("<select><option>a", "a"), ("<textarea>", ""),
+        ("<svg><text>x</text></svg>", ""), ("<script>var a = '<p>';</script>", ""), ('<script src="a"/>', ""), ('<script src="a"/></script>', ""), ("<p>x <math><mi>y</mi></math></p>", "x y"),
+        ("<object>shown instead</object>", "shown instead"), ("<p>a <label>b</label> c</p>", "a b c"), ("<p><a title=don't>link's</a> end of a sentence that goes on</p>", "link's end of a sentence that goes on"), ('<p><a href="x>y</a> z</p>', "y z"), ('<p title="a>b" class=\'c\'>d</p>', "d"),
+    ],
+)
+def test_nothing_after_a_hard_tag_is_lost(model, piece, kept):
+    blocks = html.main_texts(model, [page_of(piece)])[0].split("\n")
+    assert blocks[:2] == ["Head line", " ".join(LONG.split())] and blocks[-1] == "last words of it"
+    assert " ".join(blocks[2:-1]) == kept
+
+
+def test_whole_page_in_a_form_or_without_head_and_body(model):
+    menu, body = page_of("").split("<body>")[1].split("<article>")[0], "<article>" + page_of("").split("<article>")[1].split("<footer>")[0]
+    want = html.main_texts(model, [page_of("")])[0]
+    assert want.startswith("Head line") and want.endswith("last words of it")
+    assert html.main_texts(model, [f"<html><head><title>t</title></head><body><form method=post>{menu}{body}<footer>copyright</footer></form></body></html>"]) == [want]
+    assert html.main_texts(model, [f"<!DOCTYPE html><title>t</title><meta charset=utf-8>{menu}{body}<footer>copyright</footer>"]) == [want]
+    assert html.main_texts(model, [f"<html><head><title>t</title>{menu}{body}"]) == [want]
+
+
+#: Layouts that the generator doesn't make: (page, blocks that are main text, words that aren't).
+LAYOUTS = [
+    (f"<body><div id=nav><a href=a>A</a> <a href=b>B</a></div><div id=content><h2>Title</h2>{''.join(f'<p>{LONG}</p>' for _ in range(4))}</div><div id=sidebar><h3>Popular</h3><ul><li><a href=c>C</a></ul></div></body>", 5, ["Popular", "C"]),
+    (f"<body><header class=site-header><a href=/>Logo</a><nav><a href=x>x</a></nav></header><main><section class=post-body>{''.join(f'<p>{LONG}</p>' for _ in range(3))}<blockquote>said so</blockquote></section><aside class=related><a href=r>more like this</a></aside></main><footer>foot</footer></body>", 4, ["Logo", "more like this", "foot"]),
+    (f"<body><div class=cookie-consent>We use cookies <button>ok</button></div><div class=wrapper><div class=entry-content><p>{LONG}</p><h3>Part</h3><p>{LONG}</p><ol><li>one</li><li>two</li></ol></div><div id=comments><div class=comment><p>{LONG}</p></div></div></div></body>", 5, ["cookies"]),
+    (f"<body><table><tr><td class=menu><a href=a>A</a><br><a href=b>B</a></td><td class=main><h1>T</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table></body>", 3, ["A"]),
+]
+
+
+def test_layouts_that_are_not_generated(model):
+    got = [html.main_texts(model, [p])[0].split("\n") for p, _, _ in LAYOUTS]
+    right = sum(min(len(g), n) for g, (_, n, _) in zip(got, LAYOUTS)) / sum(n for _, n, _ in LAYOUTS)
+    extra = sum(max(0, len(g) - n) for g, (_, n, _) in zip(got, LAYOUTS))
+    wrong = [w for g, (_, _, ws) in zip(got, LAYOUTS) for w in ws if any(w in b.split() or w == b for b in g)]
+    assert right >= 0.9 and extra <= 1 and len(wrong) <= 1, (right, extra, wrong)
+
+
+def test_a_very_long_page(model):
+    body = "".join(f"<p>paragraph {i} {LONG}</p>" for i in range(8000))
+    got = html.main_texts(model, [page_of(body)])[0].split("\n")
+    assert len(got) == 8003 and got[-2].startswith("paragraph 7999")

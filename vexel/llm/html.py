@@ -23,10 +23,11 @@ from .boosting import Trees
 
 # Fixed values of HTML: elements without content, with raw content, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select object".split())
-NEVER = RAW | frozenset("head button form input label option canvas audio video dialog".split())
+RAW = frozenset("script style textarea title iframe template svg select button canvas audio video dialog".split())
+NEVER = frozenset(["head"])
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 BLOCK = frozenset(
-    "html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: An opening tag ends open elements of these names, up to the nearest of the second group.
 ENDS = {
@@ -34,7 +35,8 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+#: Quotes count only as values of attributes, right after "=", and only if they are closed.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -57,6 +59,8 @@ def parse(html: str) -> list[Node]:
     links = never = 0
 
     def text(s: str) -> None:
+        if never and any(k == "head" for k, _ in stack) and not s.isspace():
+            leave_head()
         if s and not never:
             node = stack[-1][1]
             node.parts.append(s)
@@ -72,6 +76,12 @@ def parse(html: str) -> list[Node]:
             links -= name == "a"
             never -= name in NEVER
 
+    def leave_head() -> None:
+        for i in range(1, len(stack)):
+            if stack[i][0] == "head":
+                close(i)
+                break
+
     while at < n:
         m = TAG.search(html, at)
         if not m:
@@ -95,9 +105,17 @@ def parse(html: str) -> list[Node]:
             if name in ("br", "hr") and not never:
                 stack[-1][1].parts.append(" " if name == "br" else None)
             continue
+        closes_itself = m[3].endswith("/") and (len(m[3]) == 1 or m[3][-2] in " \t\n\r\f\"'")  # else it ends a bare value
+        if name not in IN_HEAD and name not in ("html", "head"):
+            leave_head()
         if name in RAW:
+            # Content up to the end tag goes. Without one, only that of scripts and styles does; an element that closes
+            # itself has none, unless its end tag is the next one.
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            if end and (not closes_itself or html.find("<", at) == end.start()):
+                at = end.end()
+            elif name in ("script", "style") and not closes_itself:
+                at = n
             continue
         if name in BLOCK:
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, but not beyond a cell or the like
@@ -123,7 +141,7 @@ def parse(html: str) -> list[Node]:
             parent.children += 1
             parent.parts.append(node)
             nodes.append(node)
-        if m[3].endswith("/") and name not in BLOCK:
+        if closes_itself and name not in BLOCK:
             continue
         links += name == "a"
         never += name in NEVER
@@ -147,6 +165,8 @@ WORDS = {
 KIND = {w: i for i, ws in enumerate(WORDS.values()) for w in ws.split()}
 TAGS = [{"article"}, {"main"}, {"section"}, {"div"}, {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "menu", "dl"}, {"li", "dt", "dd"}, {"nav"}, {"header", "hgroup"}, {"footer"}, {"aside"}, {"table", "tbody", "thead", "tfoot", "tr"}, {"td", "th"}, {"blockquote", "pre"}, {"figure", "figcaption"}, {"html", "body"}, {"form", "fieldset"}]
 TAG_OF = {t: i for i, ts in enumerate(TAGS) for t in ts}
+#: Elements whose name says the same as such a word; what is under them should know it, too.
+TAG_KIND = {t: list(WORDS).index(k) for t, k in (("nav", "menu"), ("aside", "side"), ("footer", "foot"), ("form", "form"))}
 N_FEATURES = 14 + 3 * len(WORDS)
 
 
@@ -191,6 +211,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         )
         for c in kinds(x.attributes):
             row[14 + c] = 1
+        if x.tag in TAG_KIND:
+            row[14 + TAG_KIND[x.tag]] = 1
         if p >= 0:
             row[14 + k : 14 + 2 * k] = out[p, 14 : 14 + k]
             row[14 + 2 * k :] = out[p, 14 + 2 * k :] | out[p, 14 + k : 14 + 2 * k]
@@ -297,7 +319,7 @@ class Pages:
             lambda: f"<p>{mark(1, 8)}</p>", lambda: f"<p>{mark(10, 120)}</p>", lambda: f"<p>{mark(30, 200)}", lambda: f"<p>{mark(5, 60)} <a href=x>{mark(1, 6)}</a> {mark(1, 30)}</p>",
             lambda: f"<p><b>{mark(5, 40)}<br><p>{mark(5, 50)}</p>", lambda: f"<h{r.randint(2, 4)}>{mark(1, 9)}</h2>", lambda: f"<ul>{''.join(f'<li>{mark(2, 25)}</li>' for _ in range(r.randint(2, 6)))}</ul>",
             lambda: f"<blockquote><p>{mark(5, 60)}</p></blockquote>", lambda: f"<table><tr><td>{mark(1, 4)}</td><td>{mark(1, 4)}</td></tr></table>", lambda: f"<div>{mark(10, 80)}</div>", lambda: f"<pre>{mark(3, 30)}</pre>",
-            lambda: f"<p>{mark(10, 120)}</p>", lambda: f"<figure><img src=x><figcaption>{mark(3, 15)}</figcaption></figure>",
+            lambda: f"<p>{mark(10, 120)}</p>", lambda: f"<p>{mark(3, 30)}<svg class=i></svg> <math><mi>{mark(1, 2)}</mi></math> <label>{mark(1, 4)}</label></p>", lambda: f"<figure><img src=x><figcaption>{mark(3, 15)}</figcaption></figure>",
         ])()
 
     def page(self) -> str:
@@ -322,7 +344,12 @@ class Pages:
         top = "".join(r.choice([self.menu, self.junk, lambda: f"<header{self.attributes('top', 0.5)}>{self.words(1, 8)}{self.menu()}</header>", lambda: f"<div{self.attributes('top', 1)}>{self.words(1, 9)}</div>"])() for _ in range(r.randint(0, 4)))
         end = "".join(r.choice([self.junk, self.junk, self.menu])() for _ in range(r.randint(0, 3)))
         foot = r.choice([lambda: f"<footer{self.attributes('foot', 0.4)}>{self.words(2, 30)}</footer>", lambda: f"<footer>{self.words(2, 9)}{self.menu()}</footer>", lambda: f"<div{self.attributes('foot', 1)}><p>{self.words(2, 30)}</p></div>", str])()
-        return head + top + main + end + foot + "</body></html>"
+        body = top + main + end + foot
+        if r.random() < 0.1:
+            body = f"<form{self.attributes('form', 0.5)}>{body}</form>"  # some servers wrap whole pages
+        if r.random() < 0.1:
+            body = f"<noscript>{self.words(3, 20)}</noscript>" + body
+        return head + body + "</body></html>"
 
 
 def train(pages: int = 1200, seed: int = 1, trees: int = 60) -> Trees:
