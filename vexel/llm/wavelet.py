@@ -119,7 +119,16 @@ class WaveletMatrix:
         return at
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.rank(token))]
+        """All places of a token, in order: those below the last plane are traced back plane by plane, all at once."""
+        low, high = self._range(token, self.n)
+        at, bits = np.arange(low, high), len(self.planes)
+        for level in range(bits - 1, -1, -1):
+            if not len(at):
+                break
+            bit = token >> (bits - 1 - level) & 1
+            places = np.flatnonzero(self._bits(level) == bool(bit))
+            at = places[at - self.zeros[level] if bit else at]
+        return at.tolist()
 
 
 def opened(row: dict) -> WaveletMatrix:
@@ -148,7 +157,7 @@ def library_encoder(path: str) -> bpe.Encoder:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of all texts, END after each, in ascending order of id (nulls first; equal ids by text) as one
+    """Writes the ids of all texts, END after each, in ascending order of id (nulls first; equal ids by a hash of the text, then by text, so that many rows of one id go to several parts) as one
     file for each shard. Null texts have only END. `start` counts the part's ids before the shard; parts follow in order."""
     spark = docs.sparkSession
 
@@ -169,7 +178,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             shard, start = shard + 1, start + m.n
 
     common.small_batches(spark)
-    rows = common.keyed(docs, id_col, text_col, binary=False).repartitionByRange(2 * common.parts(spark), "id").sortWithinPartitions("id", "text")
+    rows = common.keyed(docs, id_col, text_col, binary=False).withColumn("hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(2 * common.parts(spark), "id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash")
     rows.mapInArrow(run, FORMAT).write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
 
