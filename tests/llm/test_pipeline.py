@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tests.llm import test_decontam, test_simhash, test_suffix
+from tests.llm.helpers import odd_documents
 from tests.llm.test_tokens import ids_of
 from vexel.llm import common
 
@@ -39,3 +40,24 @@ def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         common.table(spark, sf, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows(spark, tmp_path):
+    docs = odd_documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 1), (7, 1), (None, 1), (9, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "fox sleeps well"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = common.table(spark, str(tmp_path), "documents")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        given = common.stored(stage(spark, given, str(tmp_path)))
+        assert i == 4 or given.schema.simpleString() == docs.schema.simpleString()
+    ids = sorted((r.doc_id is not None, r.doc_id or 0, r.decoded) for r in given.collect())
+    # 1 is contaminated; its copies of id 4, the null and the wordless texts are near-duplicates of earlier ones.
+    assert [i for _, i, _ in ids] == [0, 2, 6, 7, 8, 9] and ids[0][2] == "a text without an id" and ids[1][2] == ""
+
+
+def test_only_the_last_result_is_left(spark):
+    mark = common.working()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() and common.working() == mark + 1
+    common.release(spark, mark)
