@@ -195,3 +195,83 @@ def test_incremental_run(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert first == 15 and got.count() == 19 and got.select("video_id").distinct().count() == 3
+
+
+def test_colours_by_size(spark):
+    import colorsys
+
+    from vexel.operators import clusters
+
+    sizes = {i: 40 - i for i in range(14)} | {20: 7, 21: 6, 22: 5, 30: 4, 31: 1}
+    labels = spark.createDataFrame([(n, c) for n, c in enumerate(c for c, k in sizes.items() for _ in range(k))], "node_id long, cluster_id int")
+    got = {r.cluster_id: (r.category, r.colour) for r in clusters.colours(labels).collect()}
+    shown = lambda *rgb: "#" + "".join(f"{int(x * 255):02x}" for x in rgb)
+    for i in range(14):
+        odd = i % 2
+        assert got[i] == ("large", shown(*colorsys.hsv_to_rgb(i * 137.508 % 360 / 360, 0.7 if odd else 0.8, 0.9 if odd else 0.8)))
+    for i, base in zip((20, 21, 22), ("#e41a1c", "#377eb8", "#4daf4a")):
+        h, s, v = colorsys.rgb_to_hsv(*(int(base[j : j + 2], 16) / 255 for j in (1, 3, 5)))
+        want = [int(x * 255) for x in colorsys.hsv_to_rgb(h, s * 0.4, v * 0.7)]
+        assert got[i][0] == "medium" and max(abs(int(got[i][1][j : j + 2], 16) - w) for j, w in zip((1, 3, 5), want)) <= 1
+    assert got[30] == got[31] == ("small", "#d3d3d3")
+    one = clusters.colours(labels.where("cluster_id = 3")).first()
+    assert one.colour == "#1f77b4"
+
+
+def test_ranks_over_ranges(spark):
+    from vexel.operators.ranking import numbered
+
+    rows = [(g, i * 7919 % 1000, i % 5) for g in "ab" for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "g string, x int, w int"), ["x"], ["g"], "w").collect()
+    sums = {g: 0 for g in "ab"}
+    for r in sorted(got, key=lambda r: (r.g, r.x)):
+        sums[r.g] += r.w
+        assert (r["rank"], r.running) == (r.x + 1, sums[r.g])
+    assert numbered(spark.createDataFrame([], "x int"), ["x"]).collect() == []
+
+
+def test_silhouette_beyond_its_sample(spark):
+    from vexel.operators import quality
+
+    rng = np.random.default_rng(0)
+    points = [(i, (rng.normal(0, 1, 3) + 4 * (i % 3)).tolist()) for i in range(6000)]
+    labels = spark.createDataFrame([("c", i, i % 3) for i, _ in points], "config string, node_id long, cluster_id int")
+    kept = quality.sampled(labels).collect()
+    assert len(kept) == quality.SAMPLE == len({r.node_id for r in kept})
+    order = sorted(range(6000), key=lambda i: __import__("hashlib").md5(f"{i}_42".encode()).hexdigest())
+    assert {r.node_id for r in kept} == set(order[:5000])
+    score = quality.silhouette(labels, spark.createDataFrame(points, "node_id long, v array<double>"), 600).first().silhouette_score
+    own = order[:600]
+    x, c = np.array([points[i][1] for i in own]), np.array([i % 3 for i in own])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = []
+    for i in range(600):
+        a = d[i][(c == c[i]) & (np.arange(600) != i)].mean()
+        b = min(d[i][c == k].mean() for k in range(3) if k != c[i])
+        want.append((b - a) / max(a, b))
+    assert abs(score - np.mean(want)) < 1e-6
+    assert quality.silhouette(labels.where("cluster_id = 1"), spark.createDataFrame(points, "node_id long, v array<double>")).first().silhouette_score is None
+
+
+def test_unknown_durations_give_no_counts(spark):
+    from vexel.functions import scalars
+
+    row = spark.createDataFrame([(None, 10)], "d double, n int").select(scalars.density_count(F.col("d")), scalars.sample_rate(F.col("n"), F.col("d"), F.lit(4), F.lit(5))).first()
+    assert tuple(row) == (None, None)
+
+
+def test_diverse_frames_are_as_many_as_asked_for(spark):
+    from vexel.operators import diverse
+
+    rng = np.random.default_rng(1)
+    rows = [(v, i, rng.normal(0, 1, 4).tolist()) for v in range(20) for i in range(9)]
+    got = diverse.diverse_frames(spark.createDataFrame(rows, "video_id int, frame_idx int, embedding array<double>"), 4).groupBy("video_id").count().collect()
+    assert len(got) == 20 and all(r["count"] == 4 for r in got)
+
+
+def test_report_looks_at_the_largest_clusters_only(spark):
+    from vexel.operators import overlap
+
+    rows = [(i, i % 12) for i in range(12 * 30)] + [(1000 + i, 11) for i in range(5)]
+    labels = spark.createDataFrame(rows, "node_id long, cluster_id int")
+    assert sorted(r.a for r in overlap.report(labels, labels).collect()) == [*range(9), 11]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def density_count(duration: Column, fps: float = 1.0, low: int = 4, high: int = 60) -> Column:
-    """Frames to take at `fps` per second, between low and high."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(duration * fps))).cast("int")
+    """Frames to take at `fps` per second, between low and high; null without a duration."""
+    return F.when(duration.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.floor(duration * fps))).cast("int"))
 
 
 def expected_frames(duration: Column) -> Column:
@@ -18,7 +18,8 @@ def expected_frames(duration: Column) -> Column:
 def sample_rate(frames: Column, duration: Column, k: Column, rate: Column) -> Column:
     """Every how many frames one is looked at: so that max(3k, 2 a second) remain, if there are as many."""
     need = F.greatest(3 * k, F.floor(2 * duration)).cast("long")
-    return F.when(frames < need * rate, F.greatest(F.lit(1), F.floor(frames / need))).otherwise(rate).cast("long")
+    known = frames.isNotNull() & duration.isNotNull() & k.isNotNull()
+    return F.when(~known, F.lit(None)).when(frames < need * rate, F.greatest(F.lit(1), F.floor(frames / need))).otherwise(rate).cast("long")
 
 
 def linspace(n: Column, k: Column) -> Column:
@@ -71,12 +72,53 @@ def config_name(selection: Column, model: Column, method: Column) -> Column:
     return F.concat_ws("_", F.lit("climate_3k"), selection, F.lit("1fps"), suffix, method)
 
 
-def golden_colour(i: Column, saturation: float = 0.7, value: float = 0.9) -> Column:
-    """Hex colours that step round the circle by the golden ratio."""
-    h = ((i * F.lit(0.618033988749895)) % 1) * 6
-    f = h - F.floor(h)
-    p, q, t = F.lit(value * (1 - saturation)), value * (1 - saturation * f), value * (1 - saturation * (1 - f))
-    v, sector = F.lit(value), F.floor(h)
-    pick = lambda *xs: F.when(sector == 0, xs[0]).when(sector == 1, xs[1]).when(sector == 2, xs[2]).when(sector == 3, xs[3]).when(sector == 4, xs[4]).otherwise(xs[5])
-    byte = lambda c: F.lpad(F.hex(F.floor(c * 255).cast("long")), 2, "0")
-    return F.lower(F.concat(F.lit("#"), byte(pick(v, q, p, p, t, v)), byte(pick(t, v, v, q, p, p)), byte(pick(p, p, t, v, v, q))))
+#: The colours of up to twelve clusters, and of a single one.
+PALETTE = "#e41a1c #377eb8 #4daf4a #984ea3 #ff7f00 #ffff33 #a65628 #f781bf #999999 #1f77b4 #17becf #bcbd22".split()
+SINGLE = "#1f77b4"
+GOLDEN_ANGLE = 137.508  # degrees
+
+
+def _with(value: Column, body) -> Column:
+    """body(value); the value is computed once and its expression isn't repeated."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _rgb(hsv: Column) -> Column:
+    """The hex colour of (h, s, v): a hue in sixths of the circle, saturation and value."""
+
+    def parts(x: Column) -> Column:
+        f = x["h"] - F.floor(x["h"])
+        tones = [x["v"], x["v"] * (1 - x["s"]), x["v"] * (1 - x["s"] * f), x["v"] * (1 - x["s"] * (1 - f))]
+        return F.struct((F.floor(x["h"]) % 6 + 1).cast("int").alias("sector"), F.transform(F.array(*tones), lambda c: F.lpad(F.hex(F.floor(c * 255).cast("long")), 2, "0")).alias("tones"))
+
+    # Which of v, p, q and t each of red, green and blue is, by sector.
+    order = [F.array(*map(F.lit, which)) for which in ((1, 3, 2, 2, 4, 1), (4, 1, 1, 3, 2, 2), (2, 2, 4, 1, 1, 3))]
+    return _with(hsv, lambda x: _with(parts(x), lambda y: F.lower(F.concat(F.lit("#"), *[F.element_at(y["tones"], F.element_at(o, y["sector"])) for o in order]))))
+
+
+def _hsv(h: Column, s: Column, v: Column) -> Column:
+    return F.struct(h.alias("h"), s.alias("s"), v.alias("v"))
+
+
+def distinct_colour(i: Column, n: Column) -> Column:
+    """The i-th (from 0) of n colours: one blue, up to twelve from the palette, else by the golden angle with saturation
+    and value alternating."""
+    even = i % 2 == 0
+    turned = _rgb(_hsv((i * F.lit(GOLDEN_ANGLE)) % 360 / 60, F.when(even, 0.8).otherwise(0.7), F.when(even, 0.8).otherwise(0.9)))
+    known = F.element_at(F.array(*map(F.lit, PALETTE)), (F.least(i, F.lit(len(PALETTE) - 1)) + 1).cast("int"))
+    return F.when(n == 1, SINGLE).when(n <= len(PALETTE), known).otherwise(turned)
+
+
+def muted_colour(colour: Column) -> Column:
+    """A hex colour with 0.4 of its saturation and 0.7 of its value."""
+
+    def ends(x: Column) -> Column:
+        return F.struct(x.alias("c"), F.array_max(x).alias("top"), (F.array_max(x) - F.array_min(x)).alias("d"))
+
+    def muted(x: Column) -> Column:
+        r, g, b = (x["c"][k] for k in range(3))
+        hue = F.when(x["d"] == 0, 0.0).when(r == x["top"], (g - b) / x["d"]).when(g == x["top"], 2 + (b - r) / x["d"]).otherwise(4 + (r - g) / x["d"])
+        return _hsv(F.pmod(hue, F.lit(6.0)), F.when(x["top"] == 0, 0.0).otherwise(x["d"] / x["top"] * 0.4), x["top"] * 0.7)
+
+    rgb = _with(colour, lambda c: F.array(*[F.conv(F.substring(c, at, 2), 16, 10).cast("double") / 255 for at in (2, 4, 6)]))
+    return _rgb(_with(_with(rgb, ends), muted))

@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import distinct_colour, muted_colour
+from .ranking import numbered
+
 
 def sizes(labels: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return labels.groupBy(*by, "cluster_id").agg(F.count("*").alias("size"))
 
 
 def ranked(labels: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Sizes with their rank. Clusters are far fewer than nodes, so one clustering's ranks are made in one task."""
-    w = Window.partitionBy(*by).orderBy(F.desc("size"), "cluster_id")
-    return sizes(labels, by).withColumn("rank", F.row_number().over(w))
+    """Sizes with their rank; a clustering may have nearly as many clusters as nodes."""
+    return numbered(sizes(labels, by).withColumn("_down", -F.col("size")), ["_down", "cluster_id"], by).drop("_down")
 
 
 def summary(labels: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -65,6 +67,17 @@ def categories(labels: DataFrame, large: int = 10) -> DataFrame:
     return sizes(labels).withColumn("category", F.when(s >= large, "large").when(s >= 5, "medium").otherwise("small"))
 
 
+def colours(labels: DataFrame, large: int = 10) -> DataFrame:
+    """(cluster_id, size, category, colour): clusters of at least `large` members have distinct colours, largest first,
+    those of at least 5 muted ones, counted anew, and smaller ones are grey."""
+    c = categories(labels, large).withColumn("_down", -F.col("size"))
+    counts = c.groupBy("category").agg(F.count("*").alias("_k"))
+    own = numbered(c, ["_down", "cluster_id"], ["category"]).join(F.broadcast(counts), "category")
+    base = distinct_colour(F.col("rank") - 1, F.col("_k"))
+    colour = F.when(F.col("category") == "large", base).when(F.col("category") == "medium", muted_colour(base)).otherwise("#d3d3d3")
+    return own.select("cluster_id", "size", "category", colour.alias("colour"))
+
+
 def top(labels: DataFrame, k: int) -> DataFrame:
     return sizes(labels).orderBy(F.desc("size"), "cluster_id").limit(k)
 
@@ -76,9 +89,9 @@ def shares(labels: DataFrame, k: int = 8) -> DataFrame:
 
 
 def cumulative_coverage(labels: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     all_points = labels.agg(F.count("*").alias("n"))
-    return ranked(labels).withColumn("points", F.sum("size").over(w)).join(F.broadcast(all_points)).select("rank", "cluster_id", "size", (F.col("points") / F.col("n") * 100).alias("coverage"))
+    own = numbered(sizes(labels).withColumn("_down", -F.col("size")), ["_down", "cluster_id"], total="size")
+    return own.join(F.broadcast(all_points)).select("rank", "cluster_id", "size", (F.col("running") / F.col("n") * 100).alias("coverage"))
 
 
 def needed_for(labels: DataFrame, pct: float = 80.0) -> DataFrame:
@@ -88,7 +101,8 @@ def needed_for(labels: DataFrame, pct: float = 80.0) -> DataFrame:
 
 def power_law(labels: DataFrame, k: int = 20, least: int = 11) -> DataFrame:
     """OLS of log10(size) on log10(rank) over the k largest clusters; nulls below `least` clusters."""
-    r = ranked(labels).where(F.col("rank") <= k).select(F.log10("size").alias("y"), F.log10("rank").alias("x"))
+    few = top(labels, k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster_id")))  # k rows
+    r = few.select(F.log10("size").alias("y"), F.log10("rank").alias("x"))
     fit = r.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count("*").alias("m"))
     return fit.select(*[F.when(F.col("m") >= least, F.col(c)).alias(c) for c in ("slope", "intercept", "r2")])
 

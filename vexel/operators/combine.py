@@ -26,11 +26,11 @@ def _softmax(x: Column) -> Column:
     return e / F.sum(e).over(_video())
 
 
-def _pairs(frames: DataFrame, on: Callable[[Column, Column], Column]) -> DataFrame:
+def _pairs(frames: DataFrame, on: Callable[[Column, Column], Column], index: str = "frame_idx") -> DataFrame:
     """(video_id, frame_idx, other, cosine) of frame pairs of a video."""
-    held = frames.select("video_id", "frame_idx", "embedding", vectors.norm("embedding").alias("norm"))
+    held = frames.select("video_id", "frame_idx", F.col(index).alias("place"), "embedding", vectors.norm("embedding").alias("norm"))
     a, b = held.alias("a"), held.alias("b")
-    joined = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & on(F.col("a.frame_idx"), F.col("b.frame_idx")))
+    joined = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & on(F.col("a.place"), F.col("b.place")))
     return joined.select("a.video_id", "a.frame_idx", F.col("b.frame_idx").alias("other"), vectors.cosine("a.embedding", "b.embedding", F.col("a.norm"), F.col("b.norm")).alias("cosine"))
 
 
@@ -59,9 +59,11 @@ def confidence_weights(frames: DataFrame, tau: float = 2.0) -> DataFrame:
 
 
 def coherence_weights(frames: DataFrame, window: int = 3) -> DataFrame:
-    """Softmax of twice a frame's mean cosine to its neighbours within window // 2; uniform up to `window` frames."""
+    """Softmax of twice a frame's mean cosine to its neighbours within window // 2 places of the video's frames in order;
+    uniform up to `window` frames."""
     h = window // 2
-    near = _pairs(frames, lambda i, j: (F.abs(i - j) >= 1) & (F.abs(i - j) <= h)).groupBy("video_id", "frame_idx").agg(F.avg("cosine").alias("c"))
+    placed = frames.withColumn("_place", F.row_number().over(_video().orderBy("frame_idx")))
+    near = _pairs(placed, lambda i, j: (F.abs(i - j) >= 1) & (F.abs(i - j) <= h), "_place").groupBy("video_id", "frame_idx").agg(F.avg("cosine").alias("c"))
     rows = _counted(frames).join(near, ["video_id", "frame_idx"], "left")
     return rows.withColumn("weight", F.when(F.col("n") <= window, 1 / F.col("n")).otherwise(_softmax(F.coalesce("c", F.lit(0.0)) * 2)))
 
@@ -96,9 +98,10 @@ COMBINERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def combine(frames: DataFrame, method: str) -> DataFrame:
+    """One vector a video; frames without an embedding take no part."""
     if method not in COMBINERS:
         raise ValueError(f"{method!r} is none of {sorted(COMBINERS)}")
-    return COMBINERS[method](frames)
+    return COMBINERS[method](frames.where(F.col("embedding").isNotNull()))
 
 
 def video_status(expected: DataFrame, frames: DataFrame) -> DataFrame:

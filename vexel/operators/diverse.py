@@ -68,8 +68,8 @@ def kmeans(x: np.ndarray, k: int, restarts: int = 10, seed: int = 42, rounds: in
 
 
 def diverse_frames(frames: DataFrame, k: int = 4, v: str = "embedding") -> DataFrame:
-    """(video_id, frame_idx) of k different frames of each video: k-means over z-scored features, the frame nearest to
-    each centre; all frames where there are no more than k. A group is one video."""
+    """(video_id, frame_idx) of k different frames of each video: k-means over z-scored features, of each cluster
+    the frame nearest to its centre; all frames where there are no more than k. A group is one video."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
@@ -78,8 +78,9 @@ def diverse_frames(frames: DataFrame, k: int = 4, v: str = "embedding") -> DataF
             s = x.std(0)
             x = np.where(s > 0, (x - x.mean(0)) / np.where(s > 0, s, 1), 0.0)
             c = kmeans(x, k)
-            near = sorted({int(((x - m) ** 2).sum(1).argmin()) for m in c})
-            pdf = pdf.iloc[near]
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            own = d.argmin(1)  # each centre's frame is one of its own cluster, so no frame is chosen twice
+            pdf = pdf.iloc[sorted(int(np.where(own == i, d[:, i], np.inf).argmin()) for i in range(len(c)) if (own == i).any())]
         return pdf[["video_id", "frame_idx"]]
 
     kind = dict(frames.dtypes)

@@ -32,17 +32,30 @@ def grid(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
     return ta.join(F.broadcast(tb)).join(contingency(a, b), ["a", "b"], "left").select("a", "b", n.alias("n"), (n / F.col("size_a") * 100).alias("pct_a"))
 
 
-def report(a: DataFrame, b: DataFrame, more_than: int = 10, first: int = 20) -> DataFrame:
-    """The largest overlaps of more than `more_than` nodes."""
-    return overlap(a, b).where(F.col("n") > more_than).orderBy(F.desc("n"), "a", "b").limit(first)
-
-
-def report_lines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n, line): the report as a Markdown table."""
+def report(a: DataFrame, b: DataFrame, more_than: int = 10, first: int = 20, largest: int = 10) -> DataFrame:
+    """The largest overlaps of more than `more_than` nodes among the `largest` clusters of either side."""
+    top = [F.broadcast(clusters.top(x, largest).select(F.col("cluster_id").alias(c))) for x, c in ((a, "a"), (b, "b"))]
+    few = overlap(a, b).join(top[0], "a", "left_semi").join(top[1], "b", "left_semi").select("a", "b", "n", "n_a", "n_b", "pct_a", "pct_b")
+    return few.where(F.col("n") > more_than).orderBy(F.desc("n"), "a", "b").limit(first)
+
+
+def report_lines(a: DataFrame, b: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """(n, line): the report in Markdown, in order of n: overview, largest overlaps (from 10 on), the first 20 near-complete
+    ones (from 100 on) and the variation of information (200)."""
+    spark, long = a.sparkSession, lambda c: F.col(c).cast("long")
+    fixed = [(0, "# Cluster overlap"), (5, "## Largest overlaps"), (6, "| a | b | shared | of a | of b |"), (7, "| --- | --- | --- | --- | --- |"), (99, "## Near-complete overlaps"), (199, "## Variation of information")]
+    head = spark.createDataFrame(fixed, "n int, line string")
+    counts = [x.agg(*agg) for x, agg in ((a, (F.count("*").alias("k"),)), (a, (F.count_distinct("cluster_id").alias("k"),)), (b, (F.count_distinct("cluster_id").alias("k"),)))]
+    overview = [c.select(F.lit(i + 1).alias("n"), F.format_string(f"- {what}: %d", "k").alias("line")) for i, (c, what) in enumerate(zip(counts, ("nodes", "clusters of a", "clusters of b")))]
     w = Window.orderBy(F.desc("n"), "a", "b")  # over 20 rows
-    body = report(a, b).select((F.row_number().over(w) + 1).alias("n"), F.format_string("| %d | %d | %d | %.1f%% | %.1f%% |", F.col("a").cast("long"), F.col("b").cast("long"), "n", "pct_a", "pct_b").alias("line"))
-    head = a.sparkSession.createDataFrame([(0, "| a | b | shared | of a | of b |"), (1, "| --- | --- | --- | --- | --- |")], "n int, line string")
-    return head.unionByName(body)
+    body = report(a, b).select((F.row_number().over(w) + 9).alias("n"), F.format_string("| %d | %d | %d | %.1f%% | %.1f%% |", long("a"), long("b"), "n", "pct_a", "pct_b").alias("line"))
+    order = ["direction", F.desc("pct"), "inner", "outer"]
+    near = near_complete(a, b, threshold).orderBy(*order).limit(20)
+    near = near.select((F.row_number().over(Window.orderBy(*order)) + 99).alias("n"), F.format_string("- %s: %d in %d, %d shared (%.1f%%)", "direction", long("inner"), long("outer"), "n", "pct").alias("line"))
+    vi = information(a, b).select(F.lit(200).alias("n"), F.format_string("- %.3f nats", "vi_nats").alias("line"))
+    for part in (*overview, body, near, vi):
+        head = head.unionByName(part)
+    return head
 
 
 def near_complete(a: DataFrame, b: DataFrame, threshold: float = 80.0, least: int = 5) -> DataFrame:
@@ -81,12 +94,28 @@ def information(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def class_counts(labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster_id, class, n)."""
+    return labels.join(classes, "node_id").groupBy("cluster_id", "class").agg(F.count("*").alias("n"))
+
+
+def minority_members(labels: DataFrame, classes: DataFrame, fewer: int = 5) -> DataFrame:
+    """(cluster_id, class, n, members): of clusters with several classes, those of fewer than `fewer` members, whose ids
+    are listed."""
+    cells = class_counts(labels, classes)
+    mixed = cells.groupBy("cluster_id").agg(F.count("*").alias("k")).where("k > 1")
+    few = cells.where(F.col("n") < fewer).join(mixed, "cluster_id", "left_semi")
+    rows = labels.join(classes, "node_id").join(few, ["cluster_id", "class"])
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ",")
+    return rows.groupBy("cluster_id", "class", "n").agg(members.alias("members"))
+
+
 def purity(labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Per cluster of (node_id, cluster_id) against (node_id, class): points, classes, whether clean, the largest
-    class's share and the classes of fewer than five members."""
-    cells = labels.join(classes, "node_id").groupBy("cluster_id", "class").agg(F.count("*").alias("n"))
-    rare = F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") < 5, F.col("class").cast("string")))), ",")
-    return cells.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_classes"), (F.count("*") == 1).alias("clean"), (F.max("n") / F.sum("n") * 100).alias("pct_major"), rare.alias("minority"))
+    class's share and, in mixed clusters, how many classes have fewer than five members."""
+    cells = class_counts(labels, classes)
+    rare = F.when(F.count("*") > 1, F.count_if(F.col("n") < 5)).otherwise(0)
+    return cells.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_classes"), (F.count("*") == 1).alias("clean"), (F.max("n") / F.sum("n") * 100).alias("pct_major"), rare.alias("n_rare"))
 
 
 def purity_summary(labels: DataFrame, classes: DataFrame) -> DataFrame:

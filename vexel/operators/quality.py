@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from . import clusters
 
+ROWS = 512  # points whose distances are held at once
 SAMPLE = 5000  # nodes that a silhouette is computed over at most, a feature of the metric
 
 
 def sampled(labels: DataFrame, cap: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """At most `cap` rows of each configuration, in order of md5(node and seed)."""
-    from pyspark.sql import Window
+    """At most `cap` rows of each configuration, in order of md5(node and seed).
 
+    The first digits of an md5 are even, so those below a share that leaves twice `cap` rows and some more hold the first
+    `cap`; only these are sorted.
+    """
     key = F.md5(F.concat(F.col("node_id").cast("string"), F.lit(f"_{seed}")).cast("binary"))
-    w = Window.partitionBy("config").orderBy(key, "node_id")
-    return labels.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= cap).drop("_i")
+    share = F.least(F.lit(1.0), (2 * cap + 100) / F.col("_n"))
+    counts = labels.groupBy("config").agg(F.count("*").alias("_n"))
+    few = labels.join(F.broadcast(counts), "config").withColumn("_k", key).where(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") <= share * (1 << 32)).drop("_n")
+    w = Window.partitionBy("config").orderBy("_k", "node_id")
+    return few.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= cap).drop("_i", "_k")
 
 
 def centroids(data: DataFrame) -> DataFrame:
@@ -25,22 +33,42 @@ def centroids(data: DataFrame) -> DataFrame:
     return vectors.averaged(data, ["config", "cluster_id"], "v", out="c")
 
 
+def _mean_silhouette(x: np.ndarray, cluster: np.ndarray) -> float | None:
+    """Distances of a block of points to all by a matrix product, summed per cluster."""
+    _, of, sizes = np.unique(cluster, return_inverse=True, return_counts=True)
+    k = len(sizes)
+    if k < 2:
+        return None
+    square, total = (x * x).sum(1), 0.0
+    for at in range(0, len(x), ROWS):
+        rows = np.arange(at, min(at + ROWS, len(x)))
+        d = np.sqrt(np.maximum(square[rows, None] + square[None] - 2 * (x[rows] @ x.T), 0))
+        d[np.arange(len(rows)), rows] = 0
+        sums = np.stack([np.bincount(of, weights=r, minlength=k) for r in d])
+        own = of[rows]
+        mine, others = sums[np.arange(len(rows)), own], sums / sizes
+        others[np.arange(len(rows)), own] = np.inf
+        a, b = mine / np.maximum(sizes[own] - 1, 1), others.min(1)
+        top = np.maximum(a, b)
+        s = np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0)
+        total += float(np.where(sizes[own] > 1, s, 0.0).sum())  # alone in its cluster within the sample: 0
+    return total / len(x)
+
+
 def silhouette(labels: DataFrame, points: DataFrame, cap: int = SAMPLE) -> DataFrame:
     """Mean silhouette (Rousseeuw 1987, Euclidean) of each configuration over members of clusters that aren't single.
 
-    At most `cap` nodes of a configuration take part, so its pairs are bounded, and they are made per configuration.
-    Null below two clusters.
+    At most `cap` nodes of a configuration take part, so one task holds its points and no pair becomes a row. Null below
+    two clusters; nodes without a vector take no part.
     """
     several = labels.join(labels.groupBy("config", "cluster_id").agg(F.count("*").alias("m")).where("m > 1").select("config", "cluster_id"), ["config", "cluster_id"], "left_semi")
-    data = sampled(several, cap).join(points, "node_id").repartition("config", "node_id")
-    a, b = data.alias("a"), data.alias("b")
-    pairs = a.join(b, (F.col("a.config") == F.col("b.config")) & (F.col("a.node_id") != F.col("b.node_id")))
-    pairs = pairs.select("a.config", "a.node_id", F.col("a.cluster_id").alias("own"), F.col("b.cluster_id").alias("other"), vectors.euclidean("a.v", "b.v").alias("d"))
-    means = pairs.groupBy("config", "node_id", "own", "other").agg(F.avg("d").alias("d"))
-    ab = means.groupBy("config", "node_id", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    # A node that is alone in its cluster within the sample scores 0.
-    s = F.when(F.col("b").isNotNull(), F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))))
-    return ab.groupBy("config").agg(F.avg(s).alias("silhouette_score"))
+    data = sampled(several, cap).join(points.where("v is not null"), "node_id").select("config", "cluster_id", "v")
+    kind = dict(labels.dtypes)["config"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"config": pdf["config"].iloc[:1], "silhouette_score": [_mean_silhouette(np.array(pdf["v"].tolist(), float), pdf["cluster_id"].to_numpy())]})
+
+    return data.groupBy("config").applyInPandas(score, f"config {kind}, silhouette_score double")
 
 
 def _of_several(labels: DataFrame, points: DataFrame) -> DataFrame:

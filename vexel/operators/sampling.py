@@ -134,8 +134,10 @@ def period_balance(sample: DataFrame) -> DataFrame:
 
 
 def capped(labels: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """At most `cap` nodes: from each of k clusters max(1, cap // k) by md5, then `cap` of these by md5."""
-    k = labels.agg(F.greatest(F.lit(1), F.floor(F.lit(cap) / F.greatest(F.count_distinct("cluster_id"), F.lit(1)))).alias("quota"))
+    """All nodes if there are no more than `cap`; else from each of k clusters max(1, cap // k) by md5, then `cap` of these
+    by md5."""
+    quota = F.when(F.count("*") <= cap, F.count("*")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(cap) / F.greatest(F.count_distinct("cluster_id"), F.lit(1)))))
+    k = labels.agg(quota.alias("quota"))
     w = Window.partitionBy("cluster_id").orderBy(shuffled("node_id", seed), "node_id")
     some = labels.withColumn("i", F.row_number().over(w)).join(F.broadcast(k)).where(F.col("i") <= F.col("quota"))
     return some.orderBy(shuffled("node_id", seed), "node_id").limit(cap).select("node_id", "cluster_id")

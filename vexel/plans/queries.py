@@ -78,7 +78,7 @@ def r6(expr: str, name: str) -> str:
 # Graph of vectors.
 query("pairwise_cosine", f"WITH {PAIRS} SELECT src, dst, {r6('sim', 'sim')} FROM p")(lambda s, d: graph.pairwise_cosine(fx.video_embeddings(s, d)))
 query("graph_edges", f"WITH {PAIRS} SELECT src, dst, {r6('(sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ())', 'weight')} FROM p")(lambda s, d: graph.edges(fx.video_embeddings(s, d)))
-query("graph_lines", f"""WITH {PAIRS}, w AS (SELECT src, dst, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS w FROM p WHERE dst < 60)
+query("graph_lines", f"""WITH {PAIRS}, w AS (SELECT src, dst, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS w FROM p)
     SELECT -1::BIGINT AS src, -1::BIGINT AS dst, (max(dst) + 1) || ' ' || count(*) AS line FROM w UNION ALL SELECT src, dst, printf('%d %d %.6f', src, dst, w) FROM w""")(lambda s, d: sinks.graph_lines(graph.edges(fx.video_embeddings(s, d))))
 query("similarity_range", f"WITH {PAIRS} SELECT {r6('min(sim)', 'min_sim')}, {r6('max(sim)', 'max_sim')}, count(*) AS n_pairs FROM p")(lambda s, d: graph.similarity_range(graph.pairwise_cosine(fx.video_embeddings(s, d))))
 query("node_ids", f"WITH {REGISTRY} SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 AS node_id FROM r")(lambda s, d: graph.node_ids(fx.registry(s, d)))
@@ -140,9 +140,15 @@ query("contingency", f"WITH {CELLS} SELECT a::BIGINT AS a, b::BIGINT AS b, n FRO
 query("overlap", f"WITH {CELLS} SELECT a::BIGINT AS a, b::BIGINT AS b, n, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {r6('n / n_a * 100', 'pct_a')}, {r6('n / n_b * 100', 'pct_b')} FROM o")(ab(overlap.overlap))
 query("overlap_grid", f"""WITH {CELLS}, ta AS (SELECT cluster_id AS a, count(*) AS sa FROM a GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), tb AS (SELECT cluster_id AS b, count(*) AS sb FROM b GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
     SELECT ta.a::BIGINT AS a, tb.b::BIGINT AS b, coalesce(n, 0)::BIGINT AS n, {r6('coalesce(n, 0) / sa * 100', 'pct_a')} FROM ta CROSS JOIN tb LEFT JOIN c ON c.a = ta.a AND c.b = tb.b""")(ab(overlap.grid))
-query("overlap_report", f"WITH {CELLS} SELECT a::BIGINT AS a, b::BIGINT AS b, n, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {r6('n / n_a * 100', 'pct_a')}, {r6('n / n_b * 100', 'pct_b')} FROM o WHERE n > 10 ORDER BY n DESC, a, b LIMIT 20")(ab(overlap.report))
-query("overlap_lines", f"""WITH {CELLS}, t AS (SELECT *, row_number() OVER (ORDER BY n DESC, a, b) AS i FROM o WHERE n > 10) SELECT i + 1 AS n, printf('| %d | %d | %d | %.1f%% | %.1f%% |', a, b, n, n / n_a * 100, n / n_b * 100) AS line FROM t WHERE i <= 20
-    UNION ALL SELECT 0, '| a | b | shared | of a | of b |' UNION ALL SELECT 1, '| --- | --- | --- | --- | --- |'""")(ab(overlap.report_lines))
+TOP10 = "a IN (SELECT cluster_id FROM a GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) AND b IN (SELECT cluster_id FROM b GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)"
+query("overlap_report", f"WITH {CELLS} SELECT a::BIGINT AS a, b::BIGINT AS b, n, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {r6('n / n_a * 100', 'pct_a')}, {r6('n / n_b * 100', 'pct_b')} FROM o WHERE n > 10 AND {TOP10} ORDER BY n DESC, a, b LIMIT 20")(ab(overlap.report))
+query("overlap_lines", f"""WITH {CELLS}, t AS (SELECT *, row_number() OVER (ORDER BY n DESC, a, b) AS i FROM o WHERE n > 10 AND {TOP10}),
+    near AS (SELECT 'a_in_b' AS d, a AS x, b AS y, n, n / n_a * 100 AS pct FROM o WHERE n_a >= 5 UNION ALL SELECT 'b_in_a', b, a, n, n / n_b * 100 FROM o WHERE n_b >= 5), nr AS (SELECT *, row_number() OVER (ORDER BY d, pct DESC, x, y) AS i FROM near WHERE pct >= 15)
+    SELECT i + 9 AS n, printf('| %d | %d | %d | %.1f%% | %.1f%% |', a, b, n, n / n_a * 100, n / n_b * 100) AS line FROM t WHERE i <= 20
+    UNION ALL SELECT i + 99, printf('- %s: %d in %d, %d shared (%.1f%%)', d, x, y, n, pct) FROM nr WHERE i <= 20
+    UNION ALL SELECT 200, printf('- %.3f nats', (SELECT -sum(n / n_all * (ln(n / n_a) + ln(n / n_b))) FROM o))
+    UNION ALL SELECT 1, printf('- nodes: %d', (SELECT count(*) FROM a)) UNION ALL SELECT 2, printf('- clusters of a: %d', (SELECT count(DISTINCT cluster_id) FROM a)) UNION ALL SELECT 3, printf('- clusters of b: %d', (SELECT count(DISTINCT cluster_id) FROM b))
+    UNION ALL SELECT * FROM (VALUES (0, '# Cluster overlap'), (5, '## Largest overlaps'), (6, '| a | b | shared | of a | of b |'), (7, '| --- | --- | --- | --- | --- |'), (99, '## Near-complete overlaps'), (199, '## Variation of information')) v(n, line)""")(ab(lambda a, b: overlap.report_lines(a, b, 15.0)))
 query("near_complete", f"""WITH {CELLS} SELECT 'a_in_b' AS direction, a::BIGINT AS "inner", b::BIGINT AS "outer", n, {r6('n / n_a * 100', 'pct')} FROM o WHERE n_a >= 5 AND n / n_a * 100 >= 20
     UNION ALL SELECT 'b_in_a', b, a, n, round((n / n_b * 100)::DOUBLE, 6) + 0.0 FROM o WHERE n_b >= 5 AND n / n_b * 100 >= 20""")(ab(lambda a, b: overlap.near_complete(a, b, 20.0)))
 query("shared_members", f"WITH {A}, {B} SELECT node_id FROM a JOIN b USING (node_id) WHERE a.cluster_id = 3 AND b.cluster_id = 5")(ab(lambda a, b: overlap.shared_members(a, b, 3, 5)))
@@ -154,7 +160,8 @@ query("information", f"""{P} SELECT {r6('-sum(p * ln(pa))', 'h_a')}, {r6('-sum(p
     {r6('-sum(p * (ln(p / pa) + ln(p / pb)))', 'vi_nats')}, {r6('abs(sum(p * (log2(p / pa) + log2(p / pb))))', 'vi_bits')}, {r6('-sum(p * ln(p / (pb + 1e-10) + 1e-10))', 'h_a_given_b_eps')}, {r6('-sum(p * ln(p / (pa + 1e-10) + 1e-10))', 'h_b_given_a_eps')} FROM z""")(ab(overlap.information))
 classes = lambda s, d: fx.labels_a(s, d).select("node_id", F.col("cluster_id").alias("class"))
 CLASSED = f"WITH {CELLS}, g AS (SELECT b AS cluster_id, a AS class, n FROM c)"
-query("purity", f"{CLASSED} SELECT cluster_id::BIGINT AS cluster_id, sum(n)::BIGINT AS n, count(*) AS n_classes, count(*) = 1 AS clean, {r6('max(n) / sum(n) * 100', 'pct_major')}, coalesce(string_agg(class, ',' ORDER BY class::VARCHAR) FILTER (n < 5), '') AS minority FROM g GROUP BY 1")(lambda s, d: overlap.purity(fx.labels_b(s, d), classes(s, d)))
+query("purity", f"{CLASSED} SELECT cluster_id::BIGINT AS cluster_id, sum(n)::BIGINT AS n, count(*) AS n_classes, count(*) = 1 AS clean, {r6('max(n) / sum(n) * 100', 'pct_major')}, CASE WHEN count(*) > 1 THEN count(*) FILTER (n < 5) ELSE 0 END AS n_rare FROM g GROUP BY 1")(lambda s, d: overlap.purity(fx.labels_b(s, d), classes(s, d)))
+query("minority_members", f"{CLASSED}, m AS (SELECT * FROM g WHERE n < 5 AND cluster_id IN (SELECT cluster_id FROM g GROUP BY 1 HAVING count(*) > 1)) SELECT m.cluster_id::BIGINT AS cluster_id, m.class::BIGINT AS class, any_value(m.n) AS n, string_agg(a.node_id, ',' ORDER BY a.node_id) AS members FROM m JOIN a ON a.cluster_id = m.class JOIN b ON b.node_id = a.node_id AND b.cluster_id = m.cluster_id GROUP BY 1, 2")(lambda s, d: overlap.minority_members(fx.labels_b(s, d), classes(s, d)))
 query("purity_summary", f"{CLASSED}, k AS (SELECT cluster_id, sum(n) AS n, count(*) = 1 AS clean FROM g GROUP BY 1) SELECT count(*) AS k, count(*) FILTER (clean) AS clean_clusters, {r6('count(*) FILTER (clean) / count(*) * 100', 'pct_clean')}, {r6('coalesce(sum(n) FILTER (clean), 0) / sum(n) * 100', 'pct_points_clean')} FROM k")(lambda s, d: overlap.purity_summary(fx.labels_b(s, d), classes(s, d)))
 query("never_confused", f"{CLASSED} SELECT DISTINCT class::BIGINT AS class FROM g WHERE class NOT IN (SELECT class FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY 1 HAVING count(*) > 1))")(lambda s, d: overlap.never_confused(fx.labels_b(s, d), classes(s, d)))
 
@@ -179,6 +186,11 @@ query("combine_temporal", f"""WITH {FP}, u AS (SELECT video_id, frame_idx, avg(c
     fw AS (SELECT fn.video_id, fn.e, CASE WHEN n <= 3 THEN 1 / n ELSE exp(coalesce(u, 0) * 2) / sum(exp(coalesce(u, 0) * 2)) OVER (PARTITION BY fn.video_id) END AS w FROM fn LEFT JOIN u USING (video_id, frame_idx)), {SUM}""")(combined("temporal_coherence"))
 query("combine_uniform", f"""WITH {FRAMES}, i AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS i FROM fn), t AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS m FROM i WHERE n <= 4 OR list_contains([0, floor(1 * ((n - 1) / 3)), floor(2 * ((n - 1) / 3)), n - 1], i)),
     fw AS (SELECT *, 1 / m AS w FROM t), {SUM}""")(combined("uniform_temporal"))
+query("combine_temporal_gaps", f"""WITH {FRAMES}, h AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY video_id) AS m FROM f WHERE frame_idx % 3 <> 1),
+    u AS (SELECT x.video_id, x.frame_idx, avg(list_cosine_similarity(x.e, y.e)) AS u FROM h x JOIN h y ON x.video_id = y.video_id AND abs(x.i - y.i) = 1 GROUP BY ALL),
+    fw AS (SELECT h.video_id, h.e, CASE WHEN m <= 3 THEN 1 / m ELSE exp(coalesce(u, 0) * 2) / sum(exp(coalesce(u, 0) * 2)) OVER (PARTITION BY h.video_id) END AS w FROM h LEFT JOIN u USING (video_id, frame_idx)), {SUM}""")(
+    lambda s, d: combine.combine(fx.frame_embeddings(s, d).withColumn("embedding", F.when(F.col("frame_idx") % 3 != 1, F.col("embedding"))), "temporal_coherence").select("video_id", F.posexplode("embedding").alias("k", "x"))
+)
 query("video_status", f"""WITH {FRAMES}, x AS (SELECT video_id, count(*) AS n, count(*) FILTER (frame_idx % 4 <> 3 AND video_id <> 7) AS ok, string_agg(frame_idx, ',' ORDER BY frame_idx) FILTER ((frame_idx % 4 = 3 OR video_id = 7) AND frame_idx < CASE WHEN video_id = 7 THEN 3 ELSE 99 END) AS bad FROM f WHERE video_id <> 5 GROUP BY 1)
     SELECT v.video_id, coalesce(n, 0)::BIGINT AS n_frames, coalesce(ok, 0)::BIGINT AS n_embedded, CASE WHEN n IS NULL THEN 'no frames' WHEN ok = 0 THEN 'all frames failed' WHEN ok < n THEN 'some frames failed' ELSE 'ok' END AS status, coalesce(bad, '') AS failed_frames FROM (SELECT DISTINCT video_id FROM f) v LEFT JOIN x USING (video_id)""")(
     lambda s, d: combine.video_status(fx.frame_embeddings(s, d).select("video_id").distinct(), fx.frame_embeddings(s, d).where("video_id <> 5").withColumn("embedding", F.when((F.col("frame_idx") % 4 != 3) & (F.col("video_id") != 7), F.col("embedding"))))
@@ -218,6 +230,9 @@ query("duration_default", f"WITH {REGISTRY} SELECT video_id, {r6('CASE WHEN done
 query("stratified_cap", f"""WITH {A}, q AS (SELECT node_id, cluster_id FROM a QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY md5(node_id || '_42'), node_id) <= greatest(1, 120 // (SELECT count(DISTINCT cluster_id) FROM a)))
     SELECT node_id, cluster_id::BIGINT AS cluster_id FROM q ORDER BY md5(node_id || '_42'), node_id LIMIT 120""")(lambda s, d: sampling.capped(fx.labels_a(s, d), 120))
 query("cluster_samples", f"WITH {SIZES} SELECT cluster_id::BIGINT AS cluster_id, node_id FROM a WHERE cluster_id IN (SELECT cluster_id FROM ranked WHERE rank <= 10) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY md5(node_id || '_42'), node_id) <= 10")(lambda s, d: sampling.cluster_samples(fx.labels_a(s, d)))
+query("common_ids", f"WITH {REGISTRY} SELECT video_id, period FROM r WHERE duplicate")(lambda s, d: sampling.common_ids(corpus(s, d).select("video_id", scalars.period(scalars.id_date(F.col("video_id"))).alias("period")), dups(s, d)))
+query("stratified_cap_all", f"WITH {A} SELECT node_id, cluster_id::BIGINT AS cluster_id FROM a WHERE node_id < 400 OR cluster_id = 1")(lambda s, d: sampling.capped(fx.labels_a(s, d).where("node_id < 400 OR cluster_id = 1"), 1_000_000))
+query("projected_centroids", f"WITH {V1}, {A} SELECT cluster_id::BIGINT AS cluster_id, {r6('avg(v[1])', 'x')}, {r6('avg(v[2])', 'y')}, count(*) AS n FROM v1 JOIN a USING (node_id) GROUP BY 1")(lambda s, d: diverse.projected_centroids(fx.video_embeddings(s, d).select("node_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")), fx.labels_a(s, d)))
 query("config_names", """WITH m AS (SELECT * FROM (VALUES ('convnextv2', 'average'), ('convnextv2', 'weighted_diversity'), ('convnextv2', 'weighted_frequency'), ('convnextv2', 'weighted_confidence'), ('dinov2', 'average'), ('dinov2', 'weighted_diversity'), ('dinov2', 'temporal_coherence')) t(model, method)),
     s AS (SELECT unnest(['static', 'diverse']) AS selection) SELECT selection, model, method, 'climate_3k_' || selection || '_1fps_' || model || CASE WHEN model = 'dinov2' THEN '_vitb14_lc' ELSE '' END || '_' || method AS config FROM s, m""")(lambda s, d: frames.config_names(s))
 
@@ -242,8 +257,15 @@ query("zscore_features", f"WITH {V1}, e AS (SELECT node_id, unnest(range(0, 64))
 query("confidence", f"WITH {FRAMES}, {CONF} SELECT video_id, frame_idx::BIGINT AS frame_idx, {r6('conf', 'confidence')} FROM fc")(lambda s, d: fx.frame_embeddings(s, d).select("video_id", "frame_idx", vectors.top_softmax("logits").alias("confidence")))
 query("shown_ids", f"WITH {REGISTRY} SELECT video_id, CASE WHEN length(video_id) > 15 THEN left(video_id, 15) || '...' || split_part(video_id, '_', 3) ELSE video_id END AS shown FROM r")(lambda s, d: corpus(s, d).select("video_id", scalars.shown_id(F.col("video_id"), 15).alias("shown")))
 
+COLOURS = "['" + "', '".join(scalars.PALETTE) + "']"
+query("cluster_colours", f"""WITH {SIZES}, c AS (SELECT *, CASE WHEN size >= 10 THEN 'large' WHEN size >= 5 THEN 'medium' ELSE 'small' END AS category FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY size DESC, cluster_id) - 1 AS i, count(*) OVER (PARTITION BY category) AS k FROM c),
+    t AS (SELECT *, (i * 137.508::DOUBLE) % 360 / 60 AS h, CASE WHEN i % 2 = 0 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS sat, CASE WHEN i % 2 = 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS val FROM k), q AS (SELECT *, floor(h)::INT AS z, h - floor(h) AS f FROM t),
+    w AS (SELECT *, val * (1 - sat) AS p, val * (1 - sat * f) AS q, val * (1 - sat * (1 - f)) AS t FROM q), x AS (SELECT *, [val, q, p, p, t, val][z + 1] AS r, [t, val, val, q, p, p][z + 1] AS g, [p, p, t, val, val, q][z + 1] AS b FROM w)
+    SELECT cluster_id::BIGINT AS cluster_id, size, category, CASE WHEN k = 1 THEN '#1f77b4' WHEN k <= 12 THEN {COLOURS}[i + 1] ELSE printf('#%02x%02x%02x', floor(r * 255)::INT, floor(g * 255)::INT, floor(b * 255)::INT) END AS colour FROM x""")(
+    lambda s, d: clusters.colours(fx.labels_a(s, d))
+)
+
 # Without an SQL form: numerical iterations.
 query("diverse_frames")(lambda s, d: diverse.diverse_frames(fx.frame_embeddings(s, d)))
 query("project_2d")(lambda s, d: diverse.projected(fx.video_embeddings(s, d)))
-query("cluster_colours")(lambda s, d: clusters.sizes(fx.labels_a(s, d)).select("cluster_id", scalars.golden_colour(F.col("cluster_id")).alias("colour")))
 query("exponential_fit")(lambda s, d: diverse.exponential_fit(clusters.ranked(fx.two_configs(s, d), ["config"]).select("config", F.col("rank").alias("x"), F.col("size").cast("double").alias("y")), "config"))
