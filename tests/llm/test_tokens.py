@@ -64,3 +64,21 @@ def test_find(spark):
     ids = [t for i in ids_of(["the cat saw the dog"] * 20) for t in [*i, 0]]
     token = ids[1]
     assert sorted(r.start + r.place for r in wavelet.find(wavelet.read(spark, path), token).collect()) == [i for i, t in enumerate(ids) if t == token]
+
+
+def test_forgotten_pieces(monkeypatch):
+    """Encoders that keep few pieces give the library's ids before and after they forget some."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    rng = np.random.default_rng(1)
+    words = ["the", "of", "naïve", "ÿ", "12", "it's", "日本", "\n", " ", "<|endoftext|>"] + [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(200)]
+    want = ids_of(texts)
+    wavelet._encoders.pop(PATH, None)
+    for encoder in (wavelet.library_encoder(PATH), bpe.Encoder(*(lambda v: (v.special, v.split, lambda ws: v.encode([w.encode() for w in ws])))(bpe.Vocabulary(PATH)))):
+        got = []
+        for i in range(0, len(texts), 7):
+            ids, lens = encoder.texts(texts[i : i + 7])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+        assert got == want
+        assert len(encoder.uses) == len(encoder.pieces) == len(encoder.piece_lens)
+    wavelet._encoders.pop(PATH, None)

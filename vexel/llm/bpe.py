@@ -31,7 +31,7 @@ FULL = regex.compile(PATTERN)
 UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 
 BUFFER = 16 << 20  # bytes of text handled at once
-CACHE = 500_000  # pieces kept by a worker before it starts afresh
+CACHE = 500_000  # pieces kept by a worker before it drops those it met once
 
 
 def byte_chars() -> dict[str, int]:
@@ -146,7 +146,7 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts. Remembers the ids of the pieces and pretokens it met, up to CACHE pieces.
+    """Encodes texts. Remembers the ids of the pieces and pretokens it met; beyond CACHE pieces only those met again.
 
     A text whose white space is single characters between words is cut at its spaces into pieces, and each distinct
     piece is cut into pretokens once: with its leading space it has the same pretokens wherever it stands. Other
@@ -161,6 +161,17 @@ class Encoder:
         self.pieces, self.words = Numbers(), Numbers()
         self.piece_ids, self.piece_lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.word_ids, self.word_lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)  # of each piece, since the last trim()
+
+    def trim(self) -> None:
+        """Forgets the pretokens, and the pieces met only once; of the others, at most CACHE / 2 stay, the most used."""
+        keep = np.flatnonzero(self.uses > 1)
+        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHE // 2]])
+        names, starts, lens = list(self.pieces), np.cumsum(self.piece_lens) - self.piece_lens, self.piece_lens[keep]
+        ids = common.ragged(self.piece_ids, starts[keep], lens)
+        self.clear()
+        self.pieces = Numbers({names[i]: n for n, i in enumerate(keep.tolist())})
+        self.piece_ids, self.piece_lens, self.uses = ids, lens, np.zeros(len(keep), np.int64)
 
     def uneven(self, text: str) -> list | None:
         """The keys of a text that can't be cut at its spaces: a tuple stands for just its text."""
@@ -221,11 +232,14 @@ class Encoder:
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > CACHE:
-            self.clear()
+            self.trim()
         known, seqs = len(self.pieces), self.numbered(texts)
         if len(self.pieces) > known:
             self.learn(list(self.pieces)[known:])
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
+        uses = np.bincount(seq, minlength=len(self.pieces))
+        uses[:known] += self.uses
+        self.uses = uses
         starts, per = np.cumsum(self.piece_lens) - self.piece_lens, self.piece_lens[seq]
         ends = np.append(0, np.cumsum(per))
         bounds = np.cumsum([0] + [len(s) for s in seqs])

@@ -8,6 +8,8 @@ token, counts a token up to a place and finds its occurrences. Shards are stored
 from __future__ import annotations
 
 import zlib
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -145,12 +147,18 @@ def library_encoder(path: str) -> bpe.Encoder:
 
         model = Tokenizer.from_file(path).model
         vocabulary = bpe.Vocabulary(path)
-        shown = str.maketrans({b: c for c, b in bpe.byte_chars().items()})
+        shown = np.zeros(256, "<u2")
+        for c, b in bpe.byte_chars().items():
+            shown[b] = ord(c)
+        apart = chr(shown[255])
 
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            got = [model.tokenize(w.encode().decode("latin-1").translate(shown)) for w in words]
+            if not words:
+                return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            raw = np.frombuffer("\udcff".join(words).encode("utf-8", "surrogateescape"), np.uint8)  # UTF-8 has no byte 255
+            got = list(map(model.tokenize, shown[raw].tobytes().decode("utf-16-le").split(apart)))
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((t.id for tokens in got for t in tokens), np.int32, int(lens.sum())), lens
+            return np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int32, int(lens.sum())), lens
 
         _encoders[path] = bpe.Encoder(vocabulary.special, vocabulary.split, encode)
     return _encoders[path]
