@@ -59,7 +59,7 @@ def test_equal_shards_and_blocks(spark, monkeypatch):
     rows = [(None, "here is the passage number3 of the benchmark again")] * 6
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(decontam, "SHARD", 1)  # a shard for each Arrow batch
-    monkeypatch.setattr(decontam.common, "ARROW_ROWS", 1)
+    monkeypatch.setattr(decontam.common, "ARROW_BYTES", 1)
     monkeypatch.setattr(decontam, "QUERY_BYTES", 150)
     assert sorted(map(tuple, decontam.contamination(docs, bench).collect()), key=str) == brute(rows, rows_of(bench, "item_id", "text"))
 
@@ -69,3 +69,11 @@ def test_proximity(spark):
     index = decontam.build_index(docs)
     assert sorted(map(tuple, decontam.proximity_matches(index, ["a", "e"], 4).collect())) == [(1, 0), (2, 5)]
     assert sorted(map(tuple, decontam.proximity_matches(index, ["a", "e"], 3).collect())) == []
+
+
+def test_clean_goes_by_rows(spark):
+    bench = spark.createDataFrame([(1, "the secret passage")], "item_id long, text string")
+    rows = [(1, "here is the secret passage", "a"), (1, "nothing here", "b"), (None, "the secret passage", "c"), (None, None, "d"), (2, "nothing here", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == ["b", "d", "e"]

@@ -90,3 +90,10 @@ def test_long_lists_link_the_same(spark, monkeypatch):
     assert usual == want
     monkeypatch.setattr(simhash, "LONG", 8)
     assert groups() == want
+
+
+def test_one_of_each_goes_by_rows(spark):
+    a, b, c = ("a first text about one thing", "another one that says something else", "the third is unlike both of them")
+    docs = spark.createDataFrame([(2, b, 1), (5, a, 2), (5, b, 3), (7, c, 4), (8, a, 5), (None, a, 6)], "doc_id long, text string, sha256 long")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.sha256 for r in kept.collect()) == [1, 2, 4, 6]

@@ -231,7 +231,7 @@ def exact_matches(index: DataFrame, found: DataFrame) -> DataFrame:
 
         return run
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a whole shard
+    common.small_batches(spark)
     blocks = [index.mapInArrow(search(spark.sparkContext.broadcast(_query(rows))), kind) for rows in _blocks(found)]
     if len(blocks) == 1:
         return blocks[0]
@@ -284,6 +284,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id has no contaminated text; rows without an id stay. Columns as they were."""
-    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
-    return docs.join(hit.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
+    """The rows of docs whose own text isn't contaminated, whatever their ids. Columns as they were.
+
+    A row is known by a 64-bit hash of its id and text, so other rows with its id don't count.
+    """
+    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(row.alias("doc_id"), F.col(text_col).alias("text"))
+    hit = contamination(rows, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.withColumn("_row", row).join(hit, F.col("_row") == F.col("_hit"), "left_anti").select(docs.columns)

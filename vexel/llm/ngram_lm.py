@@ -166,19 +166,17 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cut: int =
     name = f"vexel_lm_{uuid.uuid4().hex}"
     packed = pack(docs, id_col, text_col)
     buckets = 2 * common.parts(spark)
-    packed.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    common.put_table(packed, name, buckets, "block")
     blocks = spark.table(name)
     total = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(buckets, total // 1_000_000)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole block
+    common.small_batches(spark)
     known = blocks
     for k in range(1, order + 1):
         asked = _ask(known, k, parts, cut)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
         answers = asked.groupBy("part").applyInPandas(_count, "part int, block string, counts binary")
         own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias(f"counts{k}"))
-        own.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(f"{name}_{k}")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        common.put_table(own, f"{name}_{k}", buckets, "block")
         known = known.join(spark.table(f"{name}_{k}"), "block", "left")
 
     def run(batches):

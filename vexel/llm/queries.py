@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, ngram_lm, quality, simhash, suffix, toxicity, wavelet, winnow
+from . import bpe, centroids, decontam, html, ngram_lm, quality, simhash, spelling, suffix, toxicity, warc, wavelet, winnow
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("score", "mean_score")])
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array": op2_suffix_array,
@@ -68,8 +80,29 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "op11_spelling": op11_spelling,
+    "op12_centroids": op12_centroids,
+    "op13_warc": op13_warc,
 }
 
+FITS = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _round(i: int) -> str:
+    """Assignment to the centroids c<i> as a<i>, and the next centroids."""
+    gap = "list_sum(list_transform(list_zip(k.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    return f"""a{i} AS (SELECT * FROM (SELECT k.r, k.vec_id, k.q, c.c, {gap} AS d FROM k CROSS JOIN c{i} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+        m{i} AS (SELECT c, j, floor(sum(q[j]) / count(*))::BIGINT AS x FROM (SELECT c, q, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY ALL),
+        c{i + 1} AS (SELECT c, coalesce(n.q, o.q) AS q FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY j) AS q FROM m{i} GROUP BY 1) n USING (c))"""
+
+
+def _base32(hex_: str) -> str:
+    """Twenty bits, five hex digits, at a time."""
+    part = f"('0x' || substr({hex_}, 5 * j + 1, 5))::BIGINT"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({part} >> {s}) & 31)::BIGINT + 1, 1)" for s in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(0, 8), lambda j: {letters}), '')"
+
+
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 PLACES = f"docs AS (SELECT doc_id, {WORDS} AS ws FROM documents), ex AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM docs)"
 
@@ -93,4 +126,11 @@ ORACLE_SQL: dict[str, str] = {
         s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM ex)) AS a FROM j), s2 AS (SELECT *, CASE WHEN v IS NULL THEN a WHEN n2 >= 1 THEN ln(n2 / m1) ELSE ln(0.4::DOUBLE) + a END AS b FROM s1),
         s3 AS (SELECT doc_id, CASE WHEN u IS NULL THEN b WHEN n3 >= 1 THEN ln(n3 / m2) ELSE ln(0.4::DOUBLE) + b END AS s FROM s2), t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s3 GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 4) + 0.0 AS score, round(s / n, 4) + 0.0 AS mean_score FROM docs LEFT JOIN t USING (doc_id)""",
+    "op12_centroids": f"""
+        WITH k AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q, sha256('1:' || vec_id) AS h FROM embeddings WHERE {FITS}),
+        c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, q FROM k QUALIFY row_number() OVER (ORDER BY h) <= 16), {', '.join(map(_round, range(4)))}
+        SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(o.q, ',')) AS centroid_sha256 FROM a3 JOIN c3 o USING (c)""",
+    "op13_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_base32('sha1(html)')} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p""",
 }

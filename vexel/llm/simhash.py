@@ -41,15 +41,16 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of whole texts; null counts as empty."""
+    """(doc_id, fp long, sha256 of the text) of whole texts; null counts as empty."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in texts], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in texts], pa.int64()), b.column(2)], ["doc_id", "fp", "sha256"])
 
     common.small_batches(docs.sparkSession)
-    return common.keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = common.keyed(docs, id_col, text_col).select("id", "text", F.sha2("text", 256).alias("sha256"))
+    return rows.mapInArrow(run, "doc_id long, fp long, sha256 string")
 
 
 def _byte(position: int) -> F.Column:
@@ -165,6 +166,17 @@ def links(prints: DataFrame) -> DataFrame:
     return found.unionByName(masked.join(star, ["key", "mask", "rest"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, sha256, component_id)."""
+    prints = common.stored(fingerprints(docs, id_col, text_col))
+    groups = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = components(links(groups.select("fp")))
+    roots = groups.join(joined, groups.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(least, "root").select("fp", "component_id")
+    return prints.join(of, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints of at most 3 differing bits link, and component_id is the
     smallest doc_id of all that are connected.
@@ -172,17 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row for each row of docs. Null text: fingerprint zero. Rows without a doc_id have their component's
     smallest id, null if no row of it has one. Other columns are ignored.
     """
-    prints = common.stored(fingerprints(docs, id_col, text_col))
-    groups = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(groups.select("fp")))
-    roots = groups.join(joined, groups.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; rows without an id stay. Columns as they were."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(docs.columns)
+    """The rows of docs whose id is the smallest of their own component; rows without an id stay. Columns as they were.
+
+    A row is known by its id and text, so of rows with one id and several texts each stands or goes by itself.
+    """
+    drop = _grouped(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha256")).distinct()
+    sha256 = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return docs.join(drop, (F.col(id_col).cast("long") == F.col("_id")) & (sha256 == F.col("_sha256")), "left_anti").select(docs.columns)

@@ -396,7 +396,7 @@ def _round(known: DataFrame, name: str, buckets: int, parts: int, k: int, ask, a
             for row in batch.to_pylist():
                 yield ask(Block(row, parts))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole block
+    common.small_batches(spark)
     asked = known.mapInArrow(run, "part int, block string, " + ", ".join(f"{c} binary" for c in columns))
     answers = asked.groupBy("part").applyInPandas(answer, "part int, block string, data binary")
     own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias(f"r{k}"))
@@ -478,7 +478,7 @@ def _documents(known: DataFrame, parts: int, schema, result) -> DataFrame:
                 b = Block(row, parts)
                 yield result(b, b.removed())
 
-    known.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    common.small_batches(known.sparkSession)
     return known.mapInArrow(run, schema)
 
 

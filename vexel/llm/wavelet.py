@@ -211,7 +211,7 @@ def checksums(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lens.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["start"] + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a whole shard
+    common.small_batches(shards.sparkSession)
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
