@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.scalars import average_hash, density_count, linspace, safe_ratio
+from .selection import median
 
 
 def good_quality(gray: Column, min_std: float = 10.0, low: float = 5.0, high: float = 250.0) -> Column:
@@ -35,8 +36,10 @@ def kept_frames(frames: DataFrame, quality: DataFrame) -> DataFrame:
 
 
 def extraction_stats(results: DataFrame) -> DataFrame:
+    """One row; the medians are exact and found first, by passes over the results."""
     d, n = F.col("duration"), F.col("frames")
-    return results.agg(F.count("*").alias("n"), F.avg(d).alias("mean_duration"), F.median(d).alias("median_duration"), F.min(d).alias("min_duration"), F.max(d).alias("max_duration"), F.avg(n).alias("mean_frames"), F.median(n).alias("median_frames"), F.avg(safe_ratio(n, d)).alias("mean_density"))
+    middle = {c: F.lit(median(results, c)).cast("double").alias(f"median_{c}") for c in ("duration", "frames")}
+    return results.agg(F.count("*").alias("n"), F.avg(d).alias("mean_duration"), middle["duration"], F.min(d).alias("min_duration"), F.max(d).alias("max_duration"), F.avg(n).alias("mean_frames"), middle["frames"], F.avg(safe_ratio(n, d)).alias("mean_density"))
 
 
 def pending(videos: DataFrame, done: DataFrame, method: str = "density-based") -> DataFrame:

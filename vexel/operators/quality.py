@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from . import clusters
+from ..storage import stored
+from . import cells, clusters
 
 ROWS = 512  # points whose distances are held at once
 SAMPLE = 5000  # nodes that a silhouette is computed over at most, a feature of the metric
@@ -76,18 +78,79 @@ def _of_several(labels: DataFrame, points: DataFrame) -> DataFrame:
     return labels.join(several, ["config", "cluster_id"], "left_semi").join(points, "node_id")
 
 
-def davies_bouldin(labels: DataFrame, points: DataFrame) -> DataFrame:
+def _ratios(ca: np.ndarray, sa: np.ndarray, cb: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """For each cluster of the first block its largest (S_i + S_j) / distance over the second; 0 without one."""
+    square = (ca * ca).sum(1)[:, None] + (cb * cb).sum(1)[None]
+    d = np.maximum(square - 2 * (ca @ cb.T), 0)
+    # Where the two nearly cancel out, from the differences themselves; equal centroids don't count.
+    i, j = np.nonzero(d <= 1e-5 * square)
+    for at in range(0, len(i), 1 << 16):
+        k, m = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        d[k, m] = ((ca[k] - cb[m]) ** 2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.where(d > 0, (sa[:, None] + sb[None]) / np.sqrt(d), 0.0)
+    best, rows = r.argmax(1), np.arange(len(ca))
+    d = np.sqrt(((ca - cb[best]) ** 2).sum(1))
+    return np.where(r[rows, best] > 0, (sa + sb[best]) / np.where(d > 0, d, 1), 0.0)
+
+
+def _worst(of: cells.Cells, wanted: np.ndarray, known: DataFrame | None = None) -> DataFrame:
+    """(key, id, cell, r): the largest ratio of each cluster to those of the cells that are wanted for its own."""
+    kinds = dict(of.rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        two = cells.sides(table)
+        if two is None:
+            return cells.nothing(table, {"cell": pa.int32(), "r": pa.float64()})
+        (ids, c, s), (_, other, t) = two
+        same = [table.column(n).combine_chunks().take(pa.array(np.zeros(len(ids), np.int64))) for n in ("key", "xc")]
+        return pa.Table.from_arrays([same[0], pa.array(ids), same[1], pa.array(_ratios(c, s, other, t))], ["key", "id", "cell", "r"])
+
+    found = cells.pairs(of, wanted).groupBy(*cells.PAIR).applyInArrow(run, f"key {kinds['key']}, id {kinds['id']}, cell int, r double")
+    return (found if known is None else found.unionByName(known)).groupBy("key", "id", "cell").agg(F.max("r").alias("r"))
+
+
+def _skipped(of: cells.Cells, least: pd.DataFrame, done: np.ndarray) -> np.ndarray:
+    """Pairs of cells that can't raise any ratio of the first: (S + S') / (distance less radii) is no more than the
+    least ratio that its clusters have already."""
+    t = of.table.merge(least, "left", ["key", "cell"])
+    which = t["cell"].to_numpy()
+    gap = of.gaps()[which][:, which] - t["radius"].to_numpy()[:, None] - t["radius"].to_numpy()[None]
+    gap = gap * (1 - cells.SLACK) - cells.SLACK
+    top = t["top"].to_numpy()[:, None] + t["top"].to_numpy()[None]
+    have = np.nan_to_num(t["least"].to_numpy(float))[:, None]
+    return done | ((gap > 0) & (top <= have * np.where(gap > 0, gap, 1)))
+
+
+def davies_bouldin(labels: DataFrame, points: DataFrame, pivots: int = cells.CELLS, block: int = cells.BLOCK) -> DataFrame:
     """Mean over clusters of the largest (S_i + S_j) / distance of centroids (Davies and Bouldin 1979). Coincident
-    centroids are left out of the maximum; null below two clusters. Pairs are of centroids."""
+    centroids are left out of the maximum; null below two clusters, and where all centroids of a configuration coincide.
+
+    Centroids are dealt around pivots; each block is first compared with its own cell and the nearest one, then with the
+    cells that may still hold a larger ratio. A task holds two blocks, and pairs of centroids are never rows.
+    """
+    spark = labels.sparkSession
     data = _of_several(labels, points)
     c = centroids(data)
     spread = data.join(c, ["config", "cluster_id"]).groupBy("config", "cluster_id").agg(F.avg(vectors.euclidean("v", "c")).alias("s"))
-    cs = c.join(spread, ["config", "cluster_id"])
-    a, b = cs.alias("a"), cs.alias("b")
-    pairs = a.join(b, (F.col("a.config") == F.col("b.config")) & (F.col("a.cluster_id") != F.col("b.cluster_id")))
-    ratio = F.try_divide(F.col("a.s") + F.col("b.s"), vectors.euclidean("a.c", "b.c"))
-    worst = pairs.select("a.config", "a.cluster_id", ratio.alias("r")).groupBy("config", "cluster_id").agg(F.max("r").alias("r"))
-    return labels.select("config").distinct().join(worst.groupBy("config").agg(F.avg("r").alias("davies_bouldin_score")), "config", "left")
+    cs = stored(c.join(spread, ["config", "cluster_id"]))
+    of = cells.dealt(cs, "config", "cluster_id", "c", "s", pivots, block)
+    if not len(of.table):
+        return labels.select("config").distinct().withColumn("davies_bouldin_score", F.lit(None).cast("double"))
+    t = of.table
+    which = t["cell"].to_numpy()
+    gaps = of.gaps()[which][:, which]
+    other = t["key"].to_numpy()[:, None] != t["key"].to_numpy()[None]
+    near = np.eye(len(t), dtype=bool)
+    far = np.where(other | near, np.inf, gaps)
+    rows = np.flatnonzero(np.isfinite(far.min(1)))
+    near[rows, far[rows].argmin(1)] = True
+    first = stored(_worst(of, near))
+    least = first.groupBy("key", "cell").agg(F.min("r").alias("least")).toPandas()  # a row for each cell
+    rest = ~_skipped(of, least, near | other)
+    found = first if not rest.any() else _worst(of, rest, first)
+    score = found.where("r > 0").groupBy(F.col("key").alias("config")).agg(F.avg("r").alias("davies_bouldin_score"))
+    return labels.select("config").distinct().join(score, "config", "left")
 
 
 def calinski_harabasz(labels: DataFrame, points: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_frames, id_date, period
+from .ranking import numbered
+from .selection import median
 
 MIN_DURATION = 5.0
 
@@ -79,12 +81,14 @@ def allocation(periods: DataFrame, target: int) -> DataFrame:
 
 def picked(videos: DataFrame, alloc: DataFrame, seed: int = 42) -> DataFrame:
     """(video_id, period, duration): from each period's longest 80 % (floor) `alloc` by md5; where these are too few,
-    all of them and then the others by md5. Ids of equal duration go in order."""
+    all of them and then the others by md5. Ids of equal duration go in order. Rows are ranked within ranges of each
+    period, so a period that holds most rows is no single task's."""
     v = videos.withColumn("period", period(id_date(F.col("video_id")))).join(F.broadcast(alloc), "period")
-    by_length = Window.partitionBy("period").orderBy(F.desc("duration"), "video_id")
-    v = v.withColumn("long", F.row_number().over(by_length) <= F.floor(F.col("n") * 0.8))
-    by_hash = Window.partitionBy("period").orderBy(F.desc(F.when(F.col("n") > F.col("alloc"), F.col("long")).otherwise(F.lit(True))), shuffled("video_id", seed), "video_id")
-    return v.withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= F.col("alloc")).select("video_id", "period", "duration")
+    v = v.select("video_id", "period", "duration", "n", "alloc", (-F.col("duration")).alias("_down"))
+    v = numbered(v, ["_down", "video_id"], ["period"])
+    late = (F.col("n") > F.col("alloc")) & (F.col("rank") > F.floor(F.col("n") * 0.8))
+    v = v.select("video_id", "period", "duration", "alloc", late.alias("_late"), shuffled("video_id", seed).alias("_hash"))
+    return numbered(v, ["_late", "_hash", "video_id"], ["period"]).where(F.col("rank") <= F.col("alloc")).select("video_id", "period", "duration")
 
 
 def trimmed(sample: DataFrame, target: int, least: int) -> DataFrame:
@@ -95,8 +99,7 @@ def trimmed(sample: DataFrame, target: int, least: int) -> DataFrame:
     can = F.greatest(F.col("n") - least, F.lit(0))
     cut = sizes.withColumn("can", can).withColumn("before", F.coalesce(F.sum("can").over(w), F.lit(0))).join(F.broadcast(over))
     cut = cut.select("period", F.greatest(F.lit(0), F.least("can", F.col("excess") - F.col("before"))).alias("cut"))
-    shortest = Window.partitionBy("period").orderBy("duration", "video_id")
-    return sample.join(F.broadcast(cut), "period").withColumn("i", F.row_number().over(shortest)).where(F.col("i") > F.col("cut")).drop("i", "cut")
+    return numbered(sample.join(F.broadcast(cut), "period"), ["duration", "video_id"], ["period"]).where(F.col("rank") > F.col("cut")).drop("rank", "cut")
 
 
 def with_durations(ids: DataFrame, cache: DataFrame, default: float = MIN_DURATION) -> DataFrame:
@@ -111,8 +114,9 @@ def sample_table(sample: DataFrame) -> DataFrame:
 
 
 def duration_stats(sample: DataFrame) -> DataFrame:
+    """One row; the median is exact and found first, by passes over the sample."""
     d = F.col("duration")
-    return sample.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.median(d).alias("median"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), (F.sum(d) / 3600).alias("hours"), F.sum(F.floor(d)).alias("expected_frames"))
+    return sample.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.lit(median(sample, "duration")).cast("double").alias("median"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), (F.sum(d) / 3600).alias("hours"), F.sum(F.floor(d)).alias("expected_frames"))
 
 
 def duration_buckets(sample: DataFrame) -> DataFrame:
@@ -123,8 +127,7 @@ def duration_buckets(sample: DataFrame) -> DataFrame:
 def period_stats(sample: DataFrame) -> DataFrame:
     """Per period: count, mean, hours, and the first three ids. The ids are ranked first: no list grows with a period."""
     v = sample.withColumn("period", period(id_date(F.col("video_id")))).where("period is not null")
-    w = Window.partitionBy("period").orderBy("video_id")
-    few = v.withColumn("i", F.row_number().over(w)).where("i <= 3").groupBy("period").agg(F.array_join(F.array_sort(F.collect_list("video_id")), ",").alias("ids"))
+    few = numbered(v.select("period", "video_id"), ["video_id"], ["period"]).where("rank <= 3").groupBy("period").agg(F.array_join(F.array_sort(F.collect_list("video_id")), ",").alias("ids"))
     s = v.groupBy("period").agg(F.count("*").alias("n"), F.avg("duration").alias("mean_duration"), (F.sum("duration") / 3600).alias("hours"))
     return s.join(few, "period").select("period", "n", "mean_duration", "hours", F.concat("ids", F.when(F.col("n") > 3, "...").otherwise("")).alias("sample_ids"))
 
@@ -138,9 +141,9 @@ def capped(labels: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     by md5."""
     quota = F.when(F.count("*") <= cap, F.count("*")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(cap) / F.greatest(F.count_distinct("cluster_id"), F.lit(1)))))
     k = labels.agg(quota.alias("quota"))
-    w = Window.partitionBy("cluster_id").orderBy(shuffled("node_id", seed), "node_id")
-    some = labels.withColumn("i", F.row_number().over(w)).join(F.broadcast(k)).where(F.col("i") <= F.col("quota"))
-    return some.orderBy(shuffled("node_id", seed), "node_id").limit(cap).select("node_id", "cluster_id")
+    some = numbered(labels.select("node_id", "cluster_id", shuffled("node_id", seed).alias("_hash")), ["_hash", "node_id"], ["cluster_id"])
+    some = some.join(F.broadcast(k)).where(F.col("rank") <= F.col("quota")).drop("rank", "quota")
+    return numbered(some, ["_hash", "node_id"]).where(F.col("rank") <= cap).select("node_id", "cluster_id")
 
 
 def cluster_samples(labels: DataFrame, per_cluster: int = 10, largest: int = 10, seed: int = 42) -> DataFrame:
@@ -148,8 +151,8 @@ def cluster_samples(labels: DataFrame, per_cluster: int = 10, largest: int = 10,
     from .clusters import top
 
     few = labels.join(F.broadcast(top(labels, largest).select("cluster_id")), "cluster_id", "left_semi")
-    w = Window.partitionBy("cluster_id").orderBy(shuffled("node_id", seed), "node_id")
-    return few.withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_cluster).select("cluster_id", "node_id")
+    few = few.select("cluster_id", "node_id", shuffled("node_id", seed).alias("_hash"))
+    return numbered(few, ["_hash", "node_id"], ["cluster_id"]).where(F.col("rank") <= per_cluster).select("cluster_id", "node_id")
 
 
 def common_ids(a: DataFrame, b: DataFrame, key: str = "video_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars, vectors
-from ..operators import clusters, combine, diverse, frames, graph, overlap, quality, sampling
+from ..operators import clusters, combine, diverse, frames, graph, multicut, neighbours, overlap, quality, sampling
 from ..sources import fixtures as fx
 from ..sources import sinks
 
@@ -81,6 +81,10 @@ query("graph_edges", f"WITH {PAIRS} SELECT src, dst, {r6('(sim - min(sim) OVER (
 query("graph_lines", f"""WITH {PAIRS}, w AS (SELECT src, dst, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS w FROM p)
     SELECT -1::BIGINT AS src, -1::BIGINT AS dst, (max(dst) + 1) || ' ' || count(*) AS line FROM w UNION ALL SELECT src, dst, printf('%d %d %.6f', src, dst, w) FROM w""")(lambda s, d: sinks.graph_lines(graph.edges(fx.video_embeddings(s, d))))
 query("similarity_range", f"WITH {PAIRS} SELECT {r6('min(sim)', 'min_sim')}, {r6('max(sim)', 'max_sim')}, count(*) AS n_pairs FROM p")(lambda s, d: graph.similarity_range(graph.pairwise_cosine(fx.video_embeddings(s, d))))
+query("similar_pairs", f"WITH {PAIRS} SELECT src, dst, {r6('sim', 'sim')} FROM p WHERE sim >= 0.3")(lambda s, d: graph.similar_pairs(fx.video_embeddings(s, d), 0.3))
+query("nearest_neighbours", f"""WITH {PAIRS}, e AS (SELECT src AS id, dst AS other, sim FROM p UNION ALL SELECT dst, src, sim FROM p) SELECT id, other, {r6('sim', 'sim')} FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC) <= 15""")(
+    lambda s, d: neighbours.nearest(fx.video_embeddings(s, d))
+)
 query("node_ids", f"WITH {REGISTRY} SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 AS node_id FROM r")(lambda s, d: graph.node_ids(fx.registry(s, d)))
 query("norms", f"WITH {V1} SELECT node_id, {r6('sqrt(list_sum(list_transform(v, lambda x: x * x)))', 'norm')}, len(v)::BIGINT AS dims FROM v1")(lambda s, d: fx.video_embeddings(s, d).select("node_id", vectors.norm("v").alias("norm"), F.size("v").alias("dims")))
 
@@ -268,4 +272,6 @@ query("cluster_colours", f"""WITH {SIZES}, c AS (SELECT *, CASE WHEN size >= 10
 # Without an SQL form: numerical iterations.
 query("diverse_frames")(lambda s, d: diverse.diverse_frames(fx.frame_embeddings(s, d)))
 query("project_2d")(lambda s, d: diverse.projected(fx.video_embeddings(s, d)))
+query("neighbour_layout")(lambda s, d: neighbours.projected(fx.video_embeddings(s, d)))
+query("multicut")(lambda s, d: multicut.multicut(multicut.signed(neighbours.nearest(fx.video_embeddings(s, d)).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("weight")), 0.35)))
 query("exponential_fit")(lambda s, d: diverse.exponential_fit(clusters.ranked(fx.two_configs(s, d), ["config"]).select("config", F.col("rank").alias("x"), F.col("size").cast("double").alias("y")), "config"))
