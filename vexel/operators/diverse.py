@@ -43,9 +43,9 @@ def block_variance(gray: np.ndarray, block: int = 16) -> np.ndarray:
     return v / (v.max(initial=0) + 1e-6)
 
 
-def picture_features(bgr: np.ndarray) -> np.ndarray:
+def picture_features(bgr: np.ndarray, gray: np.ndarray | None = None) -> np.ndarray:
     """Colours, edges and texture, weighted 0.5, 0.3 and 0.2."""
-    gray = bgr @ np.array([0.114, 0.587, 0.299])
+    gray = bgr @ np.array([0.114, 0.587, 0.299]) if gray is None else gray
     return np.concatenate((0.5 * colour_histogram(bgr), [0.3 * edge_density(gray)], 0.2 * block_variance(gray)))
 
 
@@ -67,12 +67,15 @@ def kmeans(x: np.ndarray, k: int, restarts: int = 10, seed: int = 42, rounds: in
     return best
 
 
-def diverse_frames(frames: DataFrame, k: int = 4, v: str = "embedding") -> DataFrame:
+def diverse_frames(frames: DataFrame, k: int | str = 4, v: str = "embedding") -> DataFrame:
     """(video_id, frame_idx) of k different frames of each video: k-means over z-scored features, of each cluster
-    the frame nearest to its centre; all frames where there are no more than k. A group is one video."""
+    the frame nearest to its centre; all frames where there are no more than k. `k` is a number, or a column that is the
+    same for all frames of a video. A group is one video."""
+    many = F.lit(k) if isinstance(k, int) else F.col(k)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
+        k = int(pdf["_k"].iloc[0])
         if len(pdf) > k:
             x = np.array(pdf[v].tolist(), float)
             s = x.std(0)
@@ -84,7 +87,7 @@ def diverse_frames(frames: DataFrame, k: int = 4, v: str = "embedding") -> DataF
         return pdf[["video_id", "frame_idx"]]
 
     kind = dict(frames.dtypes)
-    return frames.select("video_id", "frame_idx", v).groupBy("video_id").applyInPandas(choose, f"video_id {kind['video_id']}, frame_idx {kind['frame_idx']}")
+    return frames.select("video_id", "frame_idx", v, many.alias("_k")).groupBy("video_id").applyInPandas(choose, f"video_id {kind['video_id']}, frame_idx {kind['frame_idx']}")
 
 
 def embedded(frames: DataFrame, embed: Callable[[list[bytes]], np.ndarray], batch: int = 16) -> DataFrame:

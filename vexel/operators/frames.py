@@ -24,14 +24,14 @@ def static_frames(videos: DataFrame, fps: float = 1.0) -> DataFrame:
     """(video_id, position, index, timestamp) of frames evenly over each video of (duration, fps, frame_count): the
     density decides their number; repeats stay. Position counts them from 0."""
     k = density_count(F.col("duration"), fps)
-    v = videos.where("frame_count > 0").select("video_id", "fps", F.posexplode(linspace(F.col("frame_count").cast("int"), k)).alias("position", "index"))
+    v = videos.where("frame_count > 0").select("video_id", "fps", F.posexplode(linspace(F.col("frame_count").try_cast("int"), k)).alias("position", "index"))
     return v.select("video_id", "position", "index", safe_ratio(F.col("index"), F.col("fps")).alias("timestamp"))
 
 
-def kept_frames(frames: DataFrame, quality: DataFrame) -> DataFrame:
+def kept_frames(frames: DataFrame, quality: DataFrame, min_std: float = 10.0) -> DataFrame:
     """Chosen frames whose picture (video_id, index, g) is good, numbered anew."""
     w = Window.partitionBy("video_id").orderBy("position")
-    good = frames.join(quality.where(good_quality(F.col("g"))).select("video_id", "index"), ["video_id", "index"], "left_semi")
+    good = frames.join(quality.where(good_quality(F.col("g"), min_std)).select("video_id", "index"), ["video_id", "index"], "left_semi")
     return good.withColumn("position", F.row_number().over(w) - 1)
 
 
@@ -57,14 +57,3 @@ def z_scores(features: DataFrame, key: str, v: str = "v") -> DataFrame:
     e = features.select(key, F.posexplode(v).alias("k", "x"))
     s = e.groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     return e.join(F.broadcast(s), "k").select(key, "k", F.coalesce(F.try_divide(F.col("x") - F.col("m"), F.col("s")), F.lit(0.0)).alias("z"))
-
-
-def config_names(spark) -> DataFrame:
-    """The grid of selections, models and methods."""
-    from ..functions.scalars import config_name
-
-    # The experiment grid.
-    grid = {"convnextv2": ["average", "weighted_diversity", "weighted_frequency", "weighted_confidence"], "dinov2": ["average", "weighted_diversity", "temporal_coherence"]}
-    rows = [(s, m, c) for s in ("static", "diverse") for m, cs in grid.items() for c in cs]
-    df = spark.createDataFrame(rows, "selection string, model string, method string")
-    return df.withColumn("config", config_name(F.col("selection"), F.col("model"), F.col("method")))

@@ -1,4 +1,5 @@
-"""Quality of clusterings of vectors: (config, node_id, cluster_id) with vectors (node_id, v)."""
+"""Quality of clusterings of vectors: (config, node_id, cluster_id) with vectors (node_id, v), or (config, node_id, v)
+where each configuration has its own."""
 
 from __future__ import annotations
 
@@ -30,6 +31,10 @@ def sampled(labels: DataFrame, cap: int = SAMPLE, seed: int = 42) -> DataFrame:
     return few.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= cap).drop("_i", "_k")
 
 
+def _keys(points: DataFrame) -> list[str]:
+    return ["config", "node_id"] if "config" in points.columns else ["node_id"]
+
+
 def centroids(data: DataFrame) -> DataFrame:
     """(config, cluster_id, c)."""
     return vectors.averaged(data, ["config", "cluster_id"], "v", out="c")
@@ -64,7 +69,7 @@ def silhouette(labels: DataFrame, points: DataFrame, cap: int = SAMPLE) -> DataF
     two clusters; nodes without a vector take no part.
     """
     several = labels.join(labels.groupBy("config", "cluster_id").agg(F.count("*").alias("m")).where("m > 1").select("config", "cluster_id"), ["config", "cluster_id"], "left_semi")
-    data = sampled(several, cap).join(points.where("v is not null"), "node_id").select("config", "cluster_id", "v")
+    data = sampled(several, cap).join(points.where("v is not null"), _keys(points)).select("config", "cluster_id", "v")
     kind = dict(labels.dtypes)["config"]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +80,7 @@ def silhouette(labels: DataFrame, points: DataFrame, cap: int = SAMPLE) -> DataF
 
 def _of_several(labels: DataFrame, points: DataFrame) -> DataFrame:
     several = labels.groupBy("config", "cluster_id").agg(F.count("*").alias("m")).where("m > 1").select("config", "cluster_id")
-    return labels.join(several, ["config", "cluster_id"], "left_semi").join(points, "node_id")
+    return labels.join(several, ["config", "cluster_id"], "left_semi").join(points, _keys(points))
 
 
 def _ratios(ca: np.ndarray, sa: np.ndarray, cb: np.ndarray, sb: np.ndarray) -> np.ndarray:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars, vectors
-from ..operators import clusters, combine, diverse, frames, graph, multicut, neighbours, overlap, quality, sampling
+from ..operators import clusters, combine, diverse, frames, graph, grid, multicut, neighbours, overlap, pictures, quality, sampling
 from ..sources import fixtures as fx
-from ..sources import sinks
+from ..sources import sinks, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,8 +237,33 @@ query("cluster_samples", f"WITH {SIZES} SELECT cluster_id::BIGINT AS cluster_id,
 query("common_ids", f"WITH {REGISTRY} SELECT video_id, period FROM r WHERE duplicate")(lambda s, d: sampling.common_ids(corpus(s, d).select("video_id", scalars.period(scalars.id_date(F.col("video_id"))).alias("period")), dups(s, d)))
 query("stratified_cap_all", f"WITH {A} SELECT node_id, cluster_id::BIGINT AS cluster_id FROM a WHERE node_id < 400 OR cluster_id = 1")(lambda s, d: sampling.capped(fx.labels_a(s, d).where("node_id < 400 OR cluster_id = 1"), 1_000_000))
 query("projected_centroids", f"WITH {V1}, {A} SELECT cluster_id::BIGINT AS cluster_id, {r6('avg(v[1])', 'x')}, {r6('avg(v[2])', 'y')}, count(*) AS n FROM v1 JOIN a USING (node_id) GROUP BY 1")(lambda s, d: diverse.projected_centroids(fx.video_embeddings(s, d).select("node_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")), fx.labels_a(s, d)))
-query("config_names", """WITH m AS (SELECT * FROM (VALUES ('convnextv2', 'average'), ('convnextv2', 'weighted_diversity'), ('convnextv2', 'weighted_frequency'), ('convnextv2', 'weighted_confidence'), ('dinov2', 'average'), ('dinov2', 'weighted_diversity'), ('dinov2', 'temporal_coherence')) t(model, method)),
-    s AS (SELECT unnest(['static', 'diverse']) AS selection) SELECT selection, model, method, 'climate_3k_' || selection || '_1fps_' || model || CASE WHEN model = 'dinov2' THEN '_vitb14_lc' ELSE '' END || '_' || method AS config FROM s, m""")(lambda s, d: frames.config_names(s))
+GRID = f"""{FRAMES}, sel AS (SELECT 'static' AS selection, video_id, frame_idx, e FROM f UNION ALL SELECT 'diverse', video_id, frame_idx, e FROM f WHERE frame_idx % 2 = 0),
+    gf AS (SELECT 'convnextv2' AS model, *, e AS lg FROM sel UNION ALL SELECT 'dinov2', selection, video_id, frame_idx, list_reverse(e), e FROM sel),
+    gn AS (SELECT *, count(*) OVER k AS n, row_number() OVER (k ORDER BY frame_idx) AS i, 1 / list_sum(list_transform(lg, lambda x: exp(x - list_max(lg)))) AS conf FROM gf WINDOW k AS (PARTITION BY model, selection, video_id)),
+    gp AS (SELECT x.model, x.selection, x.video_id, x.frame_idx, stddev_pop(list_cosine_similarity(x.e, y.e)) AS sd, avg(list_cosine_similarity(x.e, y.e)) FILTER (abs(x.i - y.i) = 1) AS near FROM gn x JOIN gn y ON x.model = y.model AND x.selection = y.selection AND x.video_id = y.video_id AND x.i <> y.i GROUP BY ALL),
+    ge AS (SELECT gn.*, CASE WHEN n <= 2 THEN 1 ELSE exp(sd / 2) END AS wd, exp(conf / 2) AS wc, CASE WHEN n <= 3 THEN 1 ELSE exp(coalesce(near, 0) * 2) END AS wt, CASE WHEN row_number() OVER (PARTITION BY gn.model, gn.selection, gn.video_id ORDER BY conf DESC, gn.frame_idx) = 1 THEN 1 ELSE 0 END AS wm FROM gn LEFT JOIN gp USING (model, selection, video_id, frame_idx)),
+    gw AS ({' UNION ALL '.join(f"SELECT model, selection, '{name}' AS method, video_id, e, {w} AS w FROM ge WHERE model = '{m}'" for m, names in grid.METHODS.items() for name, w in {"average": "1", "weighted_diversity": "wd", "max_confidence": "wm", "weighted_confidence": "wc", "temporal_coherence": "wt"}.items() if name in names)}),
+    gx AS (SELECT model, selection, method, video_id, k, sum(w * x) / sum(w) AS x FROM (SELECT model, selection, method, video_id, w, unnest(range(1, 65)) AS k, unnest(e) AS x FROM gw) GROUP BY ALL),
+    gv AS (SELECT model, selection, method, 'climate_3k_' || selection || '_1fps_' || model || CASE WHEN model = 'dinov2' THEN '_vitb14_lc' ELSE '' END || '_' || method AS config, video_id AS node_id, list(x ORDER BY k) AS v FROM gx GROUP BY ALL)"""
+query("config_names", f"WITH {GRID} SELECT selection, model, method, config, replace(replace(config, '1fps_dinov2_vitb14_lc', 'dinov2'), '1fps_convnextv2', 'convnextv2') AS short_name, count(*) AS n_videos FROM gv GROUP BY ALL")(
+    lambda s, d: grid.configurations(grid.video_vectors(fx.grid_frames(s, d)))
+)
+query("strategy_texts", f"WITH {GRID}, t AS (SELECT selection, count(DISTINCT video_id) / 10 AS fps FROM gf GROUP BY 1) SELECT selection, CASE selection WHEN 'static' THEN 'Uniformly spaced frames at ' ELSE 'Visually diverse frames selected at ' END || fps || ' fps density' AS description FROM t")(
+    lambda s, d: fx.grid_frames(s, d).groupBy("selection").agg((F.count_distinct("video_id") / 10).alias("fps")).select("selection", grid.strategy_text(F.col("selection"), F.col("fps")).alias("description"))
+)
+GRID_METRICS = f"""WITH {GRID}, l AS (SELECT config, node_id, (v[1] > 0)::INT * 4 + (v[2] > 0)::INT * 2 + (v[3] > 0)::INT AS cluster_id FROM gv),
+    d AS (SELECT l.*, v FROM l JOIN gv USING (config, node_id) QUALIFY count(*) OVER (PARTITION BY config, cluster_id) > 1), e AS (SELECT config, cluster_id, node_id, unnest(range(1, 65)) AS k, unnest(v) AS x FROM d),
+    ck AS (SELECT config, cluster_id, k, avg(x) AS x FROM e GROUP BY ALL), cen AS (SELECT config, cluster_id, list(x ORDER BY k) AS c FROM ck GROUP BY ALL), {SIL}, {DB}, {CH}, {DIST},
+    t AS (SELECT *, {SCORE} AS overall_score FROM di JOIN sil USING (config) JOIN db USING (config) JOIN ch USING (config) JOIN (SELECT DISTINCT config, selection, model, method FROM gv) USING (config))"""
+GRID_COLUMNS = ["silhouette_score", "davies_bouldin_score", "calinski_harabasz_score", "gini_coefficient", "top10_coverage", "singleton_ratio", "overall_score"]
+
+
+def _grid(s, d):
+    v = grid.video_vectors(fx.grid_frames(s, d))
+    return grid.scores(fx.grid_labels(v), v).select("selection", "model", "method", "config", "n_clusters", *GRID_COLUMNS)
+
+
+query("metric_grid", f"{GRID_METRICS} SELECT selection, model, method, config, n_clusters, {', '.join(r6(c, c) for c in GRID_COLUMNS)} FROM t")(_grid)
 
 # Frames.
 K = "greatest(4, least(60, floor(duration)))::BIGINT"
@@ -269,9 +294,27 @@ query("cluster_colours", f"""WITH {SIZES}, c AS (SELECT *, CASE WHEN size >= 10
     lambda s, d: clusters.colours(fx.labels_a(s, d))
 )
 
+query("video_probe", f"""WITH {REGISTRY}, i AS (SELECT *, split_part(video_id, '_', 2)::BIGINT AS i FROM r), x AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'moov cut off' WHEN i % 11 = 0 THEN 'no video track' END AS reason FROM i)
+    SELECT video_id, CASE WHEN reason IS NULL THEN CASE WHEN frame_count > 0 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END END AS fps, CASE WHEN reason IS NULL THEN frame_count END AS frame_count, CASE WHEN reason IS NULL THEN {r6('frame_count / 25', 'x').split(' AS ')[0]} END AS duration, reason FROM x""")(
+    lambda s, d: video.probed(fx.inline_videos(s, d))
+)
+
+
+def _kept(s, d):
+    chosen = frames.static_frames(fx.picture_videos(s, d))
+    gray = fx.frame_embeddings(s, d).select("video_id", F.col("frame_idx").cast("long").alias("index"), F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("double")).alias("g"))
+    return frames.kept_frames(chosen, gray, 15.9)
+
+
+query("kept_frames", f"""WITH {FRAMES}, v AS (SELECT video_id, count(*) AS frame_count, count(*) / 5 + CASE WHEN video_id % 3 = 0 THEN 5 ELSE 0 END AS duration FROM f GROUP BY 1), k AS (SELECT *, greatest(4, least(60, floor(duration)))::BIGINT AS k FROM v),
+    i AS (SELECT *, unnest(range(0, k)) AS p FROM k), x AS (SELECT *, (CASE WHEN p = k - 1 THEN frame_count - 1 ELSE floor(p * ((frame_count - 1)::DOUBLE / (k - 1))) END)::BIGINT AS index FROM i),
+    g AS (SELECT video_id, frame_idx, list_transform(e, lambda x: floor(least(greatest((x + 1) * 127.5, 0), 255))::DOUBLE) AS g FROM f), good AS (SELECT video_id, frame_idx AS index FROM g WHERE list_avg(g) BETWEEN 5 AND 250 AND list_stddev_pop(g) > 15.9)
+    SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY p) - 1 AS position, index, {r6('index / 5', 'timestamp')} FROM x JOIN good USING (video_id, index)""")(_kept)
+
 # Without an SQL form: numerical iterations.
 query("diverse_frames")(lambda s, d: diverse.diverse_frames(fx.frame_embeddings(s, d)))
 query("project_2d")(lambda s, d: diverse.projected(fx.video_embeddings(s, d)))
+query("diverse_selection")(lambda s, d: pictures.diverse_selection(fx.picture_videos(s, d), fx.pictures(s, d), rate=2))
 query("neighbour_layout")(lambda s, d: neighbours.projected(fx.video_embeddings(s, d)))
 query("multicut")(lambda s, d: multicut.multicut(multicut.signed(neighbours.nearest(fx.video_embeddings(s, d)).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("weight")), 0.35)))
 query("exponential_fit")(lambda s, d: diverse.exponential_fit(clusters.ranked(fx.two_configs(s, d), ["config"]).select("config", F.col("rank").alias("x"), F.col("size").cast("double").alias("y")), "config"))
