@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import scalars, vectors
 from ..operators import clusters, combine, diverse, frames, graph, grid, multicut, neighbours, overlap, pictures, quality, sampling
 from ..sources import fixtures as fx
-from ..sources import sinks, video
+from ..sources import array_files, arrays, sinks, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,6 +294,10 @@ query("cluster_colours", f"""WITH {SIZES}, c AS (SELECT *, CASE WHEN size >= 10
     lambda s, d: clusters.colours(fx.labels_a(s, d))
 )
 
+query("hdf5_labels", f"WITH {A} SELECT node_id, cluster_id::BIGINT AS label FROM a")(lambda s, d: arrays.labels_in(array_files.label_files(fx.labels_a(s, d), rows=200, chunk=30), "file").select((F.col("file").cast("long") * 200 + F.col("node_id")).alias("node_id"), "label"))
+query("tensor_vectors", "SELECT vec_id::VARCHAR AS key, (k - 1)::BIGINT AS k, " + r6("x", "x") + " FROM (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding) AS x FROM embeddings)")(
+    lambda s, d: arrays.tensors_in(array_files.tensor_files(fx.video_embeddings(s, d)), "file").select("key", F.posexplode("v").alias("k", "x"))
+)
 query("video_probe", f"""WITH {REGISTRY}, i AS (SELECT *, split_part(video_id, '_', 2)::BIGINT AS i FROM r), x AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'moov cut off' WHEN i % 11 = 0 THEN 'no video track' END AS reason FROM i)
     SELECT video_id, CASE WHEN reason IS NULL THEN CASE WHEN frame_count > 0 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END END AS fps, CASE WHEN reason IS NULL THEN frame_count END AS frame_count, CASE WHEN reason IS NULL THEN {r6('frame_count / 25', 'x').split(' AS ')[0]} END AS duration, reason FROM x""")(
     lambda s, d: video.probed(fx.inline_videos(s, d))
