@@ -110,6 +110,28 @@ def test_layouts_that_are_not_generated(model):
     assert right >= 0.9 and extra <= 1 and len(wrong) <= 1, (right, extra, wrong)
 
 
+BARE = [
+    ("<h1>The head line</h1><p>A first sentence of the text that is not long.</p><p>Then a second one follows it.</p>", ["The head line", "A first sentence of the text that is not long.", "Then a second one follows it."]),
+    (f"<h1>The head line</h1><p>{LONG}</p><p>{LONG}</p><footer>copyright</footer>", ["The head line", LONG.strip(), LONG.strip()]),
+    (f"<nav><ul><li><a href=/>home</a></li><li><a href=/b>news</a></li></ul></nav><h1>The head line</h1><p>{LONG}</p><h2>Part</h2><p>{LONG}</p>", ["The head line", LONG.strip(), "Part", LONG.strip()]),
+]
+
+
+@pytest.mark.parametrize("body, want", BARE)
+def test_pages_without_anything_around_the_text(model, body, want):
+    assert html.main_texts(model, [f"<html><head><title>t</title></head><body>{body}</body></html>"])[0].split("\n") == want
+
+
+@pytest.mark.parametrize("piece, kept", [("<p><a href=1>A whole sentence that is a link to its source.</a></p>", ["A whole sentence that is a link to its source."]), (f"<div class='related-work'><h2>Related work</h2><p>{LONG}</p></div>", ["Related work", LONG.strip()]), (f"<section id='comment-syntax'><h3>Comments</h3><p>{LONG}</p><p>{LONG}</p></section>", ["Comments", LONG.strip(), LONG.strip()])])
+def test_parts_of_an_article_that_look_like_something_else(model, piece, kept):
+    assert html.main_texts(model, [page_of(piece)])[0].split("\n") == ["Head line", LONG.strip(), *kept, "last words of it"]
+
+
+def test_what_is_marked_otherwise_stays_out(model):
+    for page in ("<body><nav><p>Some five words or more of a menu text.</p></nav></body>", f"<body><div class=cookie-consent><p>{LONG}</p></div></body>", "<body><ul><li><a href=a>one two three four five six</a></ul></body>"):
+        assert html.main_texts(model, [page]) == [""]
+
+
 def test_a_very_long_page(model):
     body = "".join(f"<p>paragraph {i} {LONG}</p>" for i in range(8000))
     got = html.main_texts(model, [page_of(body)])[0].split("\n")

@@ -167,7 +167,10 @@ TAGS = [{"article"}, {"main"}, {"section"}, {"div"}, {"p"}, {"h1"}, {"h2", "h3",
 TAG_OF = {t: i for i, ts in enumerate(TAGS) for t in ts}
 #: Elements whose name says the same as such a word; what is under them should know it, too.
 TAG_KIND = {t: list(WORDS).index(k) for t, k in (("nav", "menu"), ("aside", "side"), ("footer", "foot"), ("form", "form"))}
-N_FEATURES = 14 + 3 * len(WORDS)
+#: Words of attributes that say nothing of what an element is for.
+PLAIN = frozenset("site my js css page wrap wrapper box row col inner grid container".split())
+FIRST = 16  # features before the words of attributes
+N_FEATURES = FIRST + 3 * len(WORDS)
 
 
 @lru_cache(maxsize=20_000)
@@ -175,6 +178,12 @@ def kinds(attributes: str) -> tuple[int, ...]:
     return tuple(sorted({KIND[w] for x in WORD.findall(attributes) if (w := x.lower()) in KIND}))
 
 
+@lru_cache(maxsize=20_000)
+def others(attributes: str) -> int:
+    """How many words of the attributes are neither of a kind nor plain: a `related-work` isn't a `related`."""
+    return sum(len(w) > 2 and w.lower() not in KIND and w.lower().removesuffix("s") not in KIND and w.lower() not in PLAIN for w in WORD.findall(attributes))
+
+
 def _log(n: float) -> int:
     return min(63, int(4 * np.log2(1 + n)))
 
@@ -205,17 +214,17 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i, x in enumerate(nodes):
         p = parent[i]
         row = out[i]
-        row[:14] = (
+        row[:FIRST] = (
             TAG_OF.get(x.tag, 31), min(x.depth, 63), min(x.place, 63), min(nodes[p].children if p >= 0 else 1, 63), log[i], log[n + i], log[2 * n + i], log[3 * n + i],
-            63 * links[i] // max(1, text[i]), 63 * text[i] // whole, min(63, text[i] // size[i] // 8), TAG_OF.get(nodes[p].tag, 31) if p >= 0 else 30, min(x.children, 63), 63 * text[i] // max(1, text[p]) if p >= 0 else 63,
+            63 * links[i] // max(1, text[i]), 63 * text[i] // whole, min(63, text[i] // size[i] // 8), TAG_OF.get(nodes[p].tag, 31) if p >= 0 else 30, min(x.children, 63), 63 * text[i] // max(1, text[p]) if p >= 0 else 63, min(others(x.attributes), 63), out[p, FIRST - 2] if p >= 0 else 0,
         )
         for c in kinds(x.attributes):
-            row[14 + c] = 1
+            row[FIRST + c] = 1
         if x.tag in TAG_KIND:
-            row[14 + TAG_KIND[x.tag]] = 1
+            row[FIRST + TAG_KIND[x.tag]] = 1
         if p >= 0:
-            row[14 + k : 14 + 2 * k] = out[p, 14 : 14 + k]
-            row[14 + 2 * k :] = out[p, 14 + 2 * k :] | out[p, 14 + k : 14 + 2 * k]
+            row[FIRST + k : FIRST + 2 * k] = out[p, FIRST : FIRST + k]
+            row[FIRST + 2 * k :] = out[p, FIRST + 2 * k :] | out[p, FIRST + k : FIRST + 2 * k]
     return out
 
 
@@ -234,6 +243,24 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return kept
 
 
+def unmarked(nodes: list[Node], x: np.ndarray) -> list[bool]:
+    """What is kept of a page on which the trees keep no text: the prose that neither its element nor one above it marks as
+    something else than main text. Prose has five words or more, not mostly links; its headings stay, too."""
+    main = list(WORDS).index("main")
+    marks = x[:, FIRST:].reshape(len(nodes), 3, len(WORDS)).any(1)
+    marks[:, main] = False
+    free = ~marks.any(1)
+    prose = [f and n.words >= 4 and 2 * n.links < n.text for f, n in zip(free, nodes)]
+    if not any(prose):
+        return [False] * len(nodes)
+    keep = [p or (f and n.text > 0 and n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and 2 * n.links < n.text) for p, f, n in zip(prose, free, nodes)]
+    at = {id(n): i for i, n in enumerate(nodes)}
+    for i in range(len(nodes) - 1, 0, -1):
+        if keep[i]:
+            keep[at[id(nodes[i].parent)]] = True
+    return keep
+
+
 def render(nodes: list[Node], kept: list[bool]) -> str:
     """The kept nodes' text: blocks in page order, white space inside a block as one space."""
     keep = {id(x) for x, k in zip(nodes, kept) if k}
@@ -319,9 +346,19 @@ class Pages:
             lambda: f"<p>{mark(1, 8)}</p>", lambda: f"<p>{mark(10, 120)}</p>", lambda: f"<p>{mark(30, 200)}", lambda: f"<p>{mark(5, 60)} <a href=x>{mark(1, 6)}</a> {mark(1, 30)}</p>",
             lambda: f"<p><b>{mark(5, 40)}<br><p>{mark(5, 50)}</p>", lambda: f"<h{r.randint(2, 4)}>{mark(1, 9)}</h2>", lambda: f"<ul>{''.join(f'<li>{mark(2, 25)}</li>' for _ in range(r.randint(2, 6)))}</ul>",
             lambda: f"<blockquote><p>{mark(5, 60)}</p></blockquote>", lambda: f"<table><tr><td>{mark(1, 4)}</td><td>{mark(1, 4)}</td></tr></table>", lambda: f"<div>{mark(10, 80)}</div>", lambda: f"<pre>{mark(3, 30)}</pre>",
+            lambda: f"<p><a href=x>{mark(4, 40)}</a></p>", lambda: self.section(mark),
             lambda: f"<p>{mark(10, 120)}</p>", lambda: f"<p>{mark(3, 30)}<svg class=i></svg> <math><mi>{mark(1, 2)}</mi></math> <label>{mark(1, 4)}</label></p>", lambda: f"<figure><img src=x><figcaption>{mark(3, 15)}</figcaption></figure>",
         ])()
 
+    def section(self, mark) -> str:
+        """A part of the main text whose name holds a word that means something else, and another word."""
+        r = self.r
+        kind = r.choice([k for k in WORDS if k != "main"])
+        name = f"{r.choice(WORDS[kind].split())}{r.choice('-_ ')}{self.words(1, 1)}{r.choice('mnrst')}"
+        name = " ".join(reversed(name.split())) if r.random() < 0.3 else name
+        tag = r.choice(["div", "section"])
+        return f'<{tag} {r.choice(["class", "id"])}="{name}"><h{r.randint(2, 4)}>{mark(1, 6)}</h2>{"".join(f"<p>{mark(6, 90)}</p>" for _ in range(r.randint(1, 4)))}</{tag}>'
+
     def page(self) -> str:
         r = self.r
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
@@ -334,11 +371,14 @@ class Pages:
         if r.random() < 0.1:
             parts.append(f"<footer{self.attributes('share', 0.5)}>{self.words(1, 9)} {self.link()}</footer>")
         main = f"<{tag}{self.attributes('main', 0.3 if tag in ('article', 'main') else 0.95)}>{title}{''.join(parts)}</{tag}>"
-        if tag == "td":
+        bare = r.random() < 0.15
+        if bare:  # nothing around the main text
+            main = f"{title}{''.join(parts)}"
+        elif tag == "td":
             main = f"<table><tr><td>{self.menu('ul')}</td>{main}</tr></table>"
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        for _ in range(r.choice([0, 0, 0, 1, 2]) * (not bare or r.random() < 0.3)):
             main = f"<div{self.attributes(None, 0.6)}>{main}{self.junk() if r.random() < 0.3 else ''}</div>"
-        if tag != "main" and r.random() < 0.2:
+        if tag != "main" and not bare and r.random() < 0.2:
             main = f"<main>{main}</main>"
         head = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>"
         top = "".join(r.choice([self.menu, self.junk, lambda: f"<header{self.attributes('top', 0.5)}>{self.words(1, 8)}{self.menu()}</header>", lambda: f"<div{self.attributes('top', 1)}>{self.words(1, 9)}</div>"])() for _ in range(r.randint(0, 4)))
@@ -372,10 +412,11 @@ def main_texts(model: Trees, htmls: list[str]) -> list[str]:
     parsed = [parse(h) for h in htmls]
     if not parsed:
         return []
-    margins = model.margins(np.concatenate([features(nodes) for nodes in parsed]))
+    described = [features(nodes) for nodes in parsed]
+    margins = model.margins(np.concatenate(described))
     out, at = [], 0
-    for nodes in parsed:
-        out.append(render(nodes, decode(nodes, margins[at : at + len(nodes)])))
+    for nodes, x in zip(parsed, described):
+        out.append(render(nodes, decode(nodes, margins[at : at + len(nodes)])) or render(nodes, unmarked(nodes, x)))
         at += len(nodes)
     return out
 
