@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import scalars, vectors
 from ..operators import clusters, combine, diverse, frames, graph, grid, multicut, neighbours, overlap, pictures, quality, sampling
 from ..sources import fixtures as fx
-from ..sources import array_files, arrays, sinks, video
+from ..sources import array_files, arrays, sinks, tables, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,6 +294,27 @@ query("cluster_colours", f"""WITH {SIZES}, c AS (SELECT *, CASE WHEN size >= 10
     lambda s, d: clusters.colours(fx.labels_a(s, d))
 )
 
+def _mapped(s, d):
+    name = lambda c: F.concat(F.lit("video_"), F.col(c).cast("string"))
+    v = fx.video_embeddings(s, d)
+    sims = graph.similar_pairs(v, 0.3).select(name("src").alias("src"), name("dst").alias("dst"), "sim")
+    return graph.mapped(sims, graph.node_ids(v.select(name("node_id").alias("video_id"))))
+
+
+query("id_list", "SELECT 'id_' || o_orderkey AS video_id FROM orders WHERE o_orderkey % 5 <> 0")(
+    lambda s, d: tables.ids_of_lines(tables.table(s, d, "orders").select(F.explode(F.array(F.concat(F.when(F.col("o_orderkey") % 5 == 0, "# ").otherwise(""), F.lit(" id_"), "o_orderkey", F.lit("\t"), "o_totalprice"), F.lit("  "), F.lit(""))).alias("value")))
+)
+query("duration_cache", f"WITH {REGISTRY} SELECT video_id, CASE WHEN done THEN {r6('duration', 'x').split(' AS ')[0]} END AS seconds FROM r")(
+    # One object for each customer's orders.
+    lambda s, d: tables.durations_of_text(
+        corpus(s, d).groupBy(F.xxhash64("video_id") % 500).agg(F.concat(F.lit("{\n"), F.array_join(F.collect_list(F.concat(F.lit('"'), "video_id", F.lit('": '), F.when(F.col("done"), F.col("duration").cast("string")).otherwise("null"))), ",\n"), F.lit("}")).alias("value"))
+    )
+)
+query("result_names", f"WITH {GRID} SELECT DISTINCT config || '_clusters.h5' AS file, selection, CASE WHEN model = 'dinov2' THEN 'dinov2_vitb14_lc' ELSE model END AS model, method FROM gv")(
+    lambda s, d: (lambda v: v.select("file", *[c.alias(n) for n, c in tables.name_parts(F.col("file")).items()]))(grid.video_vectors(fx.grid_frames(s, d)).select(F.concat("config", F.lit("_clusters.h5")).alias("file")).distinct())
+)
+query("mapped_edges", f"""WITH {PAIRS}, i AS (SELECT 'video_' || node_id AS video_id, row_number() OVER (ORDER BY 'video_' || node_id) - 1 AS n FROM v1)
+    SELECT least(a.n, b.n) AS src, greatest(a.n, b.n) AS dst, {r6('sim', 'sim')} FROM p JOIN i a ON a.video_id = 'video_' || src JOIN i b ON b.video_id = 'video_' || dst WHERE sim >= 0.3""")(_mapped)
 query("hdf5_labels", f"WITH {A} SELECT node_id, cluster_id::BIGINT AS label FROM a")(lambda s, d: arrays.labels_in(array_files.label_files(fx.labels_a(s, d), rows=200, chunk=30), "file").select((F.col("file").cast("long") * 200 + F.col("node_id")).alias("node_id"), "label"))
 query("tensor_vectors", "SELECT vec_id::VARCHAR AS key, (k - 1)::BIGINT AS k, " + r6("x", "x") + " FROM (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding) AS x FROM embeddings)")(
     lambda s, d: arrays.tensors_in(array_files.tensor_files(fx.video_embeddings(s, d)), "file").select("key", F.posexplode("v").alias("k", "x"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,8 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """video_id of each line's first tab field; blank lines and those that start with # are left out."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    return lines.select(F.trim(F.split("value", "\t")[0]).alias("video_id"))
+    return ids_of_lines(spark.read.text(path))
+
+
+def ids_of_lines(lines: DataFrame) -> DataFrame:
+    kept = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    return kept.select(F.trim(F.split("value", "\t")[0]).alias("video_id"))
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,7 +33,10 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def duration_cache(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, seconds) from a JSON object; null for unreadable videos."""
-    whole = spark.read.text(path, wholetext=True)
+    return durations_of_text(spark.read.text(path, wholetext=True))
+
+
+def durations_of_text(whole: DataFrame) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,double>")).alias("video_id", "seconds"))
 
 
@@ -48,16 +57,16 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     """The first of several paths that is there, by Hadoop's file systems."""
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return p
-    return None
+    return next((p for p in paths if exists(spark, p)), None)
+
+
+def name_parts(file: Column) -> dict[str, Column]:
+    """selection, model and method of a result file's name, empty where it isn't one; the method may hold underscores."""
+    pattern = r"^(?:climate_3k_)?(.+?)_1fps_(dinov2(?:_vitb14_lc)?|convnextv2)_([a-z_]+?)(?:_labels|_clusters)?\.[a-z0-9]+$"
+    return {c: F.regexp_extract(file, pattern, i + 1) for i, c in enumerate(("selection", "model", "method"))}
 
 
 def result_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Names of result files taken apart: file, selection, model, method; the method may hold underscores."""
-    name = F.element_at(F.split("path", "/"), -1)
-    pattern = r"^(?:climate_3k_)?(.+?)_1fps_(dinov2(?:_vitb14_lc)?|convnextv2)_([a-z_]+?)(?:_labels)?\.[a-z0-9]+$"
-    files = spark.read.format("binaryFile").load(glob).select(name.alias("file"))
-    return files.select("file", *[F.regexp_extract("file", pattern, i + 1).alias(c) for i, c in enumerate(("selection", "model", "method"))])
+    """Names of result files taken apart: file, selection, model, method."""
+    files = spark.read.format("binaryFile").load(glob).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return files.withColumns(name_parts(F.col("file")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.frames import pending, static_frames
+from ..storage import exists
 
 
 def process_new(spark: SparkSession, source: str, results: str, checkpoint: str, schema: str, step: Callable[[DataFrame], DataFrame] = static_frames) -> StreamingQuery:
@@ -18,11 +19,9 @@ def process_new(spark: SparkSession, source: str, results: str, checkpoint: str,
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        try:
-            done = spark.read.parquet(results).select("video_id", "sampling_method")
-        except Exception as e:  # the first batch finds no results yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if exists(spark, results):
+            done = spark.read.schema("video_id string, sampling_method string").parquet(results)
+        else:  # the first batch finds no results yet
             done = spark.createDataFrame([], "video_id string, sampling_method string")
         new = step(pending(df.dropDuplicates(["video_id"]), done))
         new.selectExpr("*", "'density-based' as sampling_method").write.mode("append").parquet(results)
