@@ -105,7 +105,7 @@ def test_davies_bouldin_by_blocks(spark, pivots, block):
             r = np.where(d > 0, (s[:, None] + s[None]) / d, 0)
         return r.max(1).mean()
 
-    found = {r.config: r.davies_bouldin_score for r in quality.davies_bouldin(labels, points, pivots, block).collect()}
+    found = {r.config: r.davies_bouldin_score for r in quality.davies_bouldin(labels, points, pivots, block, 10).collect()}
     assert found["a"] == pytest.approx(brute("a")) and found["b"] == pytest.approx(brute("b")) and found["c"] is None
 
 

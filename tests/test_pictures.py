@@ -96,10 +96,19 @@ def test_nearest_frame_of_each_cluster(spark):
 
 
 def test_exponential_fit_finds_the_curve(spark):
+    rng = np.random.default_rng(4)
     x = np.arange(1, 25)
-    rows = [(k, float(i), float(y)) for k, (a, b) in {"u": (5.0, 0.3), "w": (120.0, 0.05)}.items() for i, y in zip(x, a * np.exp(-b * x))]
-    found = {r.k: (r.a, r.b) for r in diverse.exponential_fit(spark.createDataFrame(rows, "k string, x double, y double"), "k").collect()}
-    assert found["u"] == pytest.approx((5.0, 0.3), rel=1e-4) and found["w"] == pytest.approx((120.0, 0.05), rel=1e-4)
+    curves = {"u": (5.0, 0.3), "w": (120.0, 0.05), "flat": (3.0, 0.0), "rising": (2.0, -0.04)}
+    rows = [(k, float(i), float(y)) for k, (a, b) in curves.items() for i, y in zip(x, a * np.exp(-b * x))]
+    noisy = np.maximum(0, 40 * np.exp(-0.2 * x) + rng.normal(0, 1, len(x)))
+    rows += [("noisy", float(i), float(y)) for i, y in zip(x, noisy)] + [("one", 1.0, 2.0), ("none", 1.0, None), ("zero", 1.0, 0.0), ("zero", 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    found = {r.k: (r.a, r.b) for r in diverse.exponential_fit(df, "k").collect()}
+    assert all(found[k] == pytest.approx(ab, rel=1e-6, abs=1e-6) for k, ab in curves.items())
+    error = lambda a, b: ((noisy - a * np.exp(-b * x)) ** 2).sum()
+    a, b = found["noisy"]
+    assert all(error(a, b) <= error(a * p, b * q) + 1e-9 for p in (0.999, 1, 1.001) for q in (0.999, 1, 1.001))
+    assert found["one"] == found["zero"] == (None, None) and "none" not in found
 
 
 def test_ids_without_any_in_common_go_by_order(spark):

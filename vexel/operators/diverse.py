@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Rounds, stored
+
 
 def colour_histogram(bgr: np.ndarray, bins: int = 32) -> np.ndarray:
     h = np.concatenate([np.histogram(bgr[..., c], bins, (0, 256))[0] for c in range(3)]).astype(float)
@@ -109,25 +111,44 @@ def embedded(frames: DataFrame, embed: Callable[[list[bytes]], np.ndarray], batc
     return frames.select("video_id", "frame_idx", "content").mapInPandas(run, f"video_id {kind['video_id']}, frame_idx {kind['frame_idx']}, embedding array<double>, error string")
 
 
-def exponential_fit(points: DataFrame, key: str, rounds: int = 100) -> DataFrame:
-    """(key, a, b) of y = a exp(-b x) by damped Gauss-Newton for each key's few points (x, y)."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        a, b, damp = float(y.max(initial=1.0)), 0.1, 1e-3
-        cost = ((y - a * np.exp(-b * x)) ** 2).sum()
-        for _ in range(rounds):
-            e = np.exp(np.clip(-b * x, -50, 50))
-            j = np.stack((e, -a * x * e), 1)
-            step = np.linalg.solve(j.T @ j + damp * np.eye(2), j.T @ (y - a * e))
-            new = ((y - (a + step[0]) * np.exp(np.clip(-(b + step[1]) * x, -50, 50))) ** 2).sum()
-            if new <= cost:
-                a, b, damp, cost = a + step[0], b + step[1], damp / 3, new
-            else:
-                damp *= 4
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [a], "b": [b]})
-
-    return points.select(key, "x", "y").groupBy(key).applyInPandas(fit, f"{key} {dict(points.dtypes)[key]}, a double, b double")
+def _sums(points: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Per key the sums of a Gauss-Newton step at the parameters (a, b) of `state`, and the squared error there."""
+    x, y, a = F.col("x"), F.col("y"), F.col("a")
+    e = F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), -F.col("b") * x)))
+    rows = points.join(state, key).select(key, (y - a * e).alias("r"), e.alias("u"), (-a * x * e).alias("v"))
+    sums = {"uu": "u * u", "uv": "u * v", "vv": "v * v", "ur": "u * r", "vr": "v * r", "cost": "r * r"}
+    return rows.groupBy(key).agg(*[F.sum(F.expr(e)).alias(c) for c, e in sums.items()])
+
+
+def exponential_fit(points: DataFrame, key: str, rounds: int = 60, close: float = 1e-10) -> DataFrame:
+    """(key, a, b) of y = a exp(-b x) of least squares for the points (x, y) of each key.
+
+    Damped Gauss-Newton steps, from the line through (x, ln y) of the positive points: each round is one sum over the
+    points, which Spark adds up in part where they are, so a key may have any number of them. Rounds end when no key's
+    squared error falls by more than a share of `close`. Points with a null take no part; a key whose points are
+    fewer than two, or none of them positive, has nulls.
+    """
+    points = stored(points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null"))
+    w, ly = F.col("y") * F.col("y"), F.ln("y")
+    line = points.where("y > 0").groupBy(key).agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"), F.sum(w * ly).alias("wl"), F.sum(w * F.col("x") * ly).alias("wxl"))
+    slope = F.coalesce(F.try_divide(F.expr("w * wxl - wx * wl"), F.expr("w * wxx - wx * wx")), F.lit(0.0))
+    keep = Rounds(points.sparkSession)
+    first = line.select(key, F.exp((F.col("wl") - slope * F.col("wx")) / F.col("w")).alias("a"), (-slope).alias("b"))
+    now = keep.keep(first.join(_sums(points, first, key), key).withColumn("damp", F.lit(1e-3)).withColumn("still", F.lit(True)))
+    for _ in range(rounds):
+        step = now.where("still").withColumn("du", F.col("uu") * (1 + F.col("damp"))).withColumn("dv", F.col("vv") * (1 + F.col("damp"))).withColumn("det", F.expr("du * dv - uv * uv"))
+        tried = step.select(key, (F.col("a") + F.coalesce(F.try_divide(F.expr("ur * dv - vr * uv"), F.col("det")), F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(F.try_divide(F.expr("vr * du - ur * uv"), F.col("det")), F.lit(0.0))).alias("b"))
+        new = tried.join(_sums(points, tried, key), key).select(key, *[F.col(c).alias(f"_{c}") for c in ("a", "b", "uu", "uv", "vv", "ur", "vr", "cost")])
+        better = F.coalesce(F.col("_cost") <= F.col("cost"), F.lit(False))
+        both = now.join(new, key, "left")
+        still = F.col("_cost").isNotNull() & F.when(better, F.col("cost") - F.col("_cost") > close * F.col("cost")).otherwise(F.col("damp") < 1e9)
+        keep.next()
+        now = keep.keep(both.select(key, *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b", "uu", "uv", "vv", "ur", "vr", "cost")], F.when(better, F.col("damp") / 10).otherwise(F.col("damp") * 10).alias("damp"), still.alias("still")))
+        if now.where("still").isEmpty():
+            break
+    few = points.groupBy(key).agg(F.count_distinct("x").alias("n"))
+    known = F.col("n") > 1
+    return few.join(now, key, "left").select(key, F.when(known, F.col("a")).alias("a"), F.when(known, F.col("b")).alias("b"))
 
 
 def projected(vectors: DataFrame, v: str = "v", dims: int = 2) -> DataFrame:

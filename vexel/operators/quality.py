@@ -127,7 +127,7 @@ def _skipped(of: cells.Cells, least: pd.DataFrame, done: np.ndarray) -> np.ndarr
     return done | ((gap > 0) & (top <= have * np.where(gap > 0, gap, 1)))
 
 
-def davies_bouldin(labels: DataFrame, points: DataFrame, pivots: int = cells.CELLS, block: int = cells.BLOCK) -> DataFrame:
+def davies_bouldin(labels: DataFrame, points: DataFrame, pivots: int = cells.CELLS, block: int = cells.BLOCK, per_cell: int = cells.PER_CELL) -> DataFrame:
     """Mean over clusters of the largest (S_i + S_j) / distance of centroids (Davies and Bouldin 1979). Coincident
     centroids are left out of the maximum; null below two clusters, and where all centroids of a configuration coincide.
 
@@ -139,7 +139,7 @@ def davies_bouldin(labels: DataFrame, points: DataFrame, pivots: int = cells.CEL
     c = centroids(data)
     spread = data.join(c, ["config", "cluster_id"]).groupBy("config", "cluster_id").agg(F.avg(vectors.euclidean("v", "c")).alias("s"))
     cs = stored(c.join(spread, ["config", "cluster_id"]))
-    of = cells.dealt(cs, "config", "cluster_id", "c", "s", pivots, block)
+    of = cells.dealt(cs, "config", "cluster_id", "c", "s", pivots, block, per_cell=per_cell)
     if not len(of.table):
         return labels.select("config").distinct().withColumn("davies_bouldin_score", F.lit(None).cast("double"))
     t = of.table

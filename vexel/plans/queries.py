@@ -341,5 +341,5 @@ query("diverse_frames")(lambda s, d: diverse.diverse_frames(fx.frame_embeddings(
 query("project_2d")(lambda s, d: diverse.projected(fx.video_embeddings(s, d)))
 query("diverse_selection")(lambda s, d: pictures.diverse_selection(fx.picture_videos(s, d), fx.pictures(s, d), rate=2))
 query("neighbour_layout")(lambda s, d: neighbours.projected(fx.video_embeddings(s, d)))
-query("multicut")(lambda s, d: multicut.multicut(multicut.signed(neighbours.nearest(fx.video_embeddings(s, d)).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("weight")), 0.35)))
+query("multicut")(lambda s, d: multicut.multicut(multicut.signed(neighbours.nearest(fx.video_embeddings(s, d), 8).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("weight")), 0.35)))
 query("exponential_fit")(lambda s, d: diverse.exponential_fit(clusters.ranked(fx.two_configs(s, d), ["config"]).select("config", F.col("rank").alias("x"), F.col("size").cast("double").alias("y")), "config"))
