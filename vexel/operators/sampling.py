@@ -84,7 +84,7 @@ def picked(videos: DataFrame, alloc: DataFrame, seed: int = 42) -> DataFrame:
     all of them and then the others by md5. Ids of equal duration go in order. Rows are ranked within ranges of each
     period, so a period that holds most rows is no single task's."""
     v = videos.withColumn("period", period(id_date(F.col("video_id")))).join(F.broadcast(alloc), "period")
-    v = v.select("video_id", "period", "duration", "n", "alloc", (-F.col("duration")).alias("_down"))
+    v = v.select("video_id", "period", "duration", "n", "alloc", F.coalesce(-F.col("duration"), F.lit(float("inf"))).alias("_down"))
     v = numbered(v, ["_down", "video_id"], ["period"])
     late = (F.col("n") > F.col("alloc")) & (F.col("rank") > F.floor(F.col("n") * 0.8))
     v = v.select("video_id", "period", "duration", "alloc", late.alias("_late"), shuffled("video_id", seed).alias("_hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,7 @@ class Rounds:
         for path in self.before:
             dropped(self.spark, path)
         self.before, self.now = self.now, []
+        # Spark deletes the shuffle files of what nobody refers to any more when the driver collects its garbage, which
+        # a driver with little to do does seldom.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
