@@ -71,6 +71,17 @@ def test_proximity(spark):
     assert sorted(map(tuple, decontam.proximity_matches(index, ["a", "e"], 3).collect())) == []
 
 
+def test_texts_of_several_slices(spark):
+    """Windows within a slice, over the end of one, and words that are cut by none."""
+    text = "lorem ipsum " * 87_381
+    text = text[: (1 << 20) - 9] + "the secret passage of the benchmark " + "dolor " * 300_000 + "w" * 1_500_000 + " the secret passage of the benchmark"
+    assert decontam.words(text.encode()) == [w.encode() for w in brute_words(text)]
+    docs = [(1, text), (2, "dolor " * 400_000), (3, "passage of the")]
+    bench = spark.createDataFrame([(1, "The secret passage, of the BENCHMARK"), (2, "dolor lorem")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contamination(df, bench).collect()), key=str) == brute(docs, rows_of(bench, "item_id", "text"))
+
+
 def test_clean_goes_by_rows(spark):
     bench = spark.createDataFrame([(1, "the secret passage")], "item_id long, text string")
     rows = [(1, "here is the secret passage", "a"), (1, "nothing here", "b"), (None, "the secret passage", "c"), (None, None, "d"), (2, "nothing here", "e")]

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 
 from tests.llm.helpers import odd_documents
-from vexel.llm import ngram_lm, queries
+from vexel.llm import common, ngram_lm, queries
 from vexel.llm.decontam import words
 
 
@@ -37,6 +37,17 @@ def close(a, b):
         assert abs(x[2] - y[2]) < 1e-4 * max(1, abs(y[2]))
 
 
+def test_texts_of_several_slices_and_what_is_left(spark):
+    rng = np.random.default_rng(0)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 3000, 400_000))
+    rows = [(1, long), (2, long[1_000_000:]), (3, "w1 w2 w3"), (4, None)]
+    mark = common.working()
+    close(given(ngram_lm.scores(spark.createDataFrame(rows, "doc_id long, text string"))), brute(rows))
+    held = [t.name for t in spark.catalog.listTables() if t.name.startswith("vexel_lm_")]
+    common.release(spark, mark)
+    assert held and not [t.name for t in spark.catalog.listTables() if t.name in held]
+
+
 def test_whole_table(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -61,3 +61,18 @@ def test_only_the_last_result_is_left(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() and common.working() == mark + 1
     common.release(spark, mark)
+
+
+def test_release_leaves_other_scopes_alone(spark):
+    kept = common.stored(spark.range(3))
+    mark = common.working()
+    with common.scope():
+        dropped = common.shared_dir(spark)
+        common.stored(spark.range(5), dropped)
+        common.release(spark)
+        left = common.stored(spark.range(2))
+    assert kept.count() == 3 and left.count() == 2 and common.working() == mark + 1
+    import os
+
+    assert not os.path.exists(dropped)
+    common.release(spark, mark)

@@ -22,9 +22,13 @@ def digest(ids, text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("kind", ["whole", "odd", "hard", "empty"])
+#: Beyond a buffer of the encoder and a shard of the files.
+LONG = ["".join(f"word{i % 977} and line {i}\n" for i in range(500_000)), "x" * 3_000_000, "short"]
+
+
+@pytest.mark.parametrize("kind", ["whole", "odd", "hard", "empty", "long"])
 def test_encoding_and_files(spark, sf, kind):
-    docs = {"whole": lambda: spark.read.parquet(f"{sf}/documents.parquet"), "odd": lambda: odd_documents(spark), "empty": lambda: odd_documents(spark, True), "hard": lambda: spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")}[kind]()
+    docs = {"whole": lambda: spark.read.parquet(f"{sf}/documents.parquet"), "odd": lambda: odd_documents(spark), "empty": lambda: odd_documents(spark, True), "hard": lambda: spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string"), "long": lambda: spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")}[kind]()
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     ids = ids_of(t for _, t in rows)
     want = sorted(((d, *digest(i, TOKENIZER.decode(i, skip_special_tokens=False))) for (d, _), i in zip(rows, ids)), key=str)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
-#: Working folders and tables of this process that nobody has dropped yet.
-_working: list[tuple[str, str]] = []
+#: Working folders and tables that nobody has dropped yet, of each scope.
+_working: ContextVar[list[tuple[str, str]]] = ContextVar("working", default=[])  # noqa: B039
+
+
+@contextmanager
+def scope():
+    """A list of its own for what is stored within, so that release() there leaves alone what others store meanwhile, be it
+    in other threads or around it. What is left at the end goes to the scope around."""
+    outer, own = _working.get(), []
+    token = _working.set(own)
+    try:
+        yield
+    finally:
+        _working.reset(token)
+        outer += own
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/vexel-{uuid.uuid4().hex}"
-    _working.append(("folder", path))
+    _working.get().append(("folder", path))
     return path
 
 
@@ -45,23 +60,24 @@ def put_table(df: DataFrame, name: str, buckets: int, by: str) -> None:
     """Stores df as a table that is bucketed and sorted by a column; its files are in the shared folder."""
     writer = df.write.option("compression", "zstd").option("path", shared_dir(df.sparkSession)).bucketBy(buckets, by).sortBy(by)
     writer.saveAsTable(name)
-    _working.append(("table", name))
+    _working.get().append(("table", name))
 
 
 def working() -> int:
     """A mark for release(): what is stored from now on comes after it."""
-    return len(_working)
+    return len(_working.get())
 
 
 def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
-    """Drops the working tables and folders stored since a mark, but for the folder `keep`. Operators give lazy results
+    """Drops the working tables and folders that this scope stored since a mark, but for the folder `keep`. Operators give lazy results
     that read them, so this is for when the results are written or no longer wanted."""
-    for kind, name in _working[since:]:
+    held = _working.get()
+    for kind, name in held[since:]:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         elif name != keep:
             dropped(spark, name)
-    _working[since:] = [("folder", keep)] if keep else []
+    held[since:] = [("folder", keep)] if keep else []
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
