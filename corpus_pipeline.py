@@ -48,9 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies every stage to the documents in turn; each result is stored as Parquet and reread as the next one's input.
     What a stage and the one before it stored for themselves is dropped once its result is stored."""
-    docs, since = common.table(spark, sf_dir, "documents"), common.working()
-    for _, stage in STAGES[:-1]:
-        path = common.shared_dir(spark)
-        docs = common.stored(stage(spark, docs, sf_dir), path)
-        common.release(spark, since, keep=path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = common.table(spark, sf_dir, "documents")
+    with common.scope():
+        for _, stage in STAGES[:-1]:
+            path = common.shared_dir(spark)
+            docs = common.stored(stage(spark, docs, sf_dir), path)
+            common.release(spark, keep=path)
+        return STAGES[-1][1](spark, docs, sf_dir)
