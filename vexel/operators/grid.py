@@ -16,6 +16,7 @@ SELECTIONS = ["static", "diverse"]
 METHODS = {"convnextv2": ["average", "weighted_diversity", "max_confidence", "weighted_confidence"], "dinov2": ["average", "weighted_diversity", "temporal_coherence"]}
 # Suffixes of model names in file names, which other names leave out.
 LONG_NAMES = {"1fps_dinov2_vitb14_lc": "dinov2", "1fps_convnextv2": "convnextv2"}
+# What the selections do.
 DESCRIPTIONS = {"static": "Uniformly spaced frames at %s fps density", "diverse": "Visually diverse frames selected at %s fps density"}
 
 

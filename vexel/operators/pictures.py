@@ -33,6 +33,7 @@ def on_white(picture: np.ndarray) -> np.ndarray:
 
 def gray(bgr: np.ndarray) -> np.ndarray:
     """Brightness by the weights of ITU-R BT.601, in whole numbers."""
+    # The weights of blue, green and red, in 1 / 2^14.
     b, g, r = (bgr[..., i].astype(np.int64) for i in range(3))
     return ((1868 * b + 9617 * g + 4899 * r + (1 << 13)) >> 14).astype(np.uint8)
 
