@@ -103,6 +103,7 @@ def _base32(hex_: str) -> str:
     return f"array_to_string(list_transform(range(0, 8), lambda j: {letters}), '')"
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 PLACES = f"docs AS (SELECT doc_id, {WORDS} AS ws FROM documents), ex AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM docs)"
 
@@ -126,6 +127,19 @@ ORACLE_SQL: dict[str, str] = {
         s1 AS (SELECT *, ln(n1 / (SELECT count(*) FROM ex)) AS a FROM j), s2 AS (SELECT *, CASE WHEN v IS NULL THEN a WHEN n2 >= 1 THEN ln(n2 / m1) ELSE ln(0.4::DOUBLE) + a END AS b FROM s1),
         s3 AS (SELECT doc_id, CASE WHEN u IS NULL THEN b WHEN n3 >= 1 THEN ln(n3 / m2) ELSE ln(0.4::DOUBLE) + b END AS s FROM s2), t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s3 GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 4) + 0.0 AS score, round(s / n, 4) + 0.0 AS mean_score FROM docs LEFT JOIN t USING (doc_id)""",
+    "op11_spelling": f"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        coded AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7),
+        hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded, crc),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+        cut AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        one AS (SELECT DISTINCT a.word AS a, w.word AS b FROM cut a JOIN w ON a.rest = w.word),
+        near AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word UNION ALL SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+        best AS (SELECT a AS word, b, w.n AS bn, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN w ON w.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) = 1),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * w.n THEN b END AS form, CASE WHEN bn >= 10 * w.n THEN bn END AS form_n FROM w LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS here, 0 AS d FROM f UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL)
+        SELECT word, n, n_near, form, form_n, (SELECT arg_max(here, d) FROM chain c WHERE c.word = f.word) AS root FROM f""",
     "op12_centroids": f"""
         WITH k AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q, sha256('1:' || vec_id) AS h FROM embeddings WHERE {FITS}),
         c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, q FROM k QUALIFY row_number() OVER (ORDER BY h) <= 16), {', '.join(map(_round, range(4)))}
