@@ -331,6 +331,18 @@ def _kept(s, d):
     return frames.kept_frames(chosen, gray, 15.9)
 
 
+def _over_white(s, d):
+    level = lambda x: F.lpad(F.hex(F.floor(F.least(F.greatest((x * 3 + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("long")), 2, "0")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.concat(level(x), level(-x), F.lit("C8"), level(2 * x))), ""))
+    rows = fx.frame_embeddings(s, d).select("video_id", "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("channels"), data.alias("data"))
+    return pictures.composited(rows).select("video_id", "frame_idx", "channels", F.hex("data").alias("pixels"))
+
+
+LEVEL = "floor(least(greatest(({} * 3 + 1) * 127.5, 0), 255))::BIGINT"
+OVER = f"(({{}}) * {LEVEL.format('2 * x')} + 255 * (255 - {LEVEL.format('2 * x')}) + 127) // 255"
+query("alpha_on_white", f"""WITH {FRAMES} SELECT video_id, frame_idx::BIGINT AS frame_idx, 3::BIGINT AS channels,
+    array_to_string(list_transform(e, lambda x: printf('%02X%02X%02X', {OVER.format(LEVEL.format('x'))}, {OVER.format(LEVEL.format('(-x)'))}, {OVER.format('200')})), '') AS pixels FROM f""")(_over_white)
+
 query("kept_frames", f"""WITH {FRAMES}, v AS (SELECT video_id, count(*) AS frame_count, count(*) / 5 + CASE WHEN video_id % 3 = 0 THEN 5 ELSE 0 END AS duration FROM f GROUP BY 1), k AS (SELECT *, greatest(4, least(60, floor(duration)))::BIGINT AS k FROM v),
     i AS (SELECT *, unnest(range(0, k)) AS p FROM k), x AS (SELECT *, (CASE WHEN p = k - 1 THEN frame_count - 1 ELSE floor(p * ((frame_count - 1)::DOUBLE / (k - 1))) END)::BIGINT AS index FROM i),
     g AS (SELECT video_id, frame_idx, list_transform(e, lambda x: floor(least(greatest((x + 1) * 127.5, 0), 255))::DOUBLE) AS g FROM f), good AS (SELECT video_id, frame_idx AS index FROM g WHERE list_avg(g) BETWEEN 5 AND 250 AND list_stddev_pop(g) > 15.9)
