@@ -30,7 +30,7 @@ FULL = regex.compile(PATTERN)
 #: White space that stands at an end of the text or next to other white space.
 UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 
-BUFFER = 16 << 20  # bytes of text handled at once
+BUFFER = 8 << 20  # bytes of text handled at once
 CACHE = 500_000  # pieces kept by a worker before it drops those it met once
 
 
