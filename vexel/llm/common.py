@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -63,6 +64,13 @@ def put_table(df: DataFrame, name: str, buckets: int, by: str) -> None:
     _working.get().append(("table", name))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what nobody refers to any more: it does so when the driver collects its
+    garbage, which a driver with little to do does seldom."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def working() -> int:
     """A mark for release(): what is stored from now on comes after it."""
     return len(_working.get())

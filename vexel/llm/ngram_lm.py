@@ -177,6 +177,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cut: int =
         answers = asked.groupBy("part").applyInPandas(_count, "part int, block string, counts binary")
         own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias(f"counts{k}"))
         common.put_table(own, f"{name}_{k}", buckets, "block")
+        common.let_go(spark)  # the exchange isn't needed any more
         known = known.join(spark.table(f"{name}_{k}"), "block", "left")
 
     def run(batches):
