@@ -220,3 +220,27 @@ def test_a_stratum_of_most_rows_is_spread(spark):
     assert "_r" in ranked._jdf.queryExecution().executedPlan().toString()
     sizes = ranked.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 0.6 * 2000
+
+
+def test_neighbours_are_the_nearest(spark):
+    """Tiles of several chunks: no neighbour is missed, copies and short lists included."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2600, 6))
+    x[:40] = x[0]
+    x[7] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(5000, None)], "node_id long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    sim = u @ u.T
+    sim[7] = sim[:, 7] = -9
+    np.fill_diagonal(sim, -9)
+    want = -np.sort(-sim, 1)[:, :10]
+    for block in (None, 1300, 90):
+        found = neighbours.exact(v, 10, block=block).collect()
+        assert len({(r.id, r.other) for r in found}) == len(found) == 10 * 2599 and all(r.id != r.other and 7 not in (r.id, r.other) for r in found)
+        assert all(r.sim == pytest.approx(sim[r.id, r.other], abs=1e-12) for r in found)
+        lists = {}
+        for r in found:
+            lists.setdefault(r.id, []).append(r.sim)
+        assert all(np.allclose(sorted(lists[i], reverse=True), want[i], rtol=0, atol=1e-12) for i in lists)
+    assert sorted((r.id, r.other) for r in neighbours.exact(v.where("node_id in (3, 100, 200)"), 10).collect()) == [(3, 100), (3, 200), (100, 3), (100, 200), (200, 3), (200, 100)]
+    assert neighbours.exact(v.limit(0)).collect() == []

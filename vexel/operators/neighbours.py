@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, stored
-from . import cells
+from . import cells, tiles
 
 K = 15
 DEALS = 3  # times that vectors are dealt into blocks, around different pivots
@@ -124,6 +124,59 @@ def nearest(vectors: DataFrame, k: int = K, id_col: str = "node_id", v: str = "v
     return _best(now.select("id", "other", "sim"), k)
 
 
+def _merged(best: tuple[np.ndarray, np.ndarray], sim: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest entries (values, ids) of each row of `best` and of `sim`, in descending order, equal ones by id."""
+    n, k = best[0].shape
+    least = best[0][:, -1]
+    if sim.shape[1] > k and np.isneginf(least).any():  # a list that isn't full would take all
+        least = np.maximum(least, np.partition(sim, -k, axis=1)[:, -k])
+    i, j = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+    if not len(i):
+        return best
+    row, value, other = np.append(np.repeat(np.arange(n), k), i), np.append(best[0], sim[i, j]), np.append(best[1], ids[j])
+    by = np.lexsort((other, -value, row))
+    row = row[by]
+    by = by[np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] < k]
+    return value[by].reshape(n, k), other[by].reshape(n, k)
+
+
+def exact(vectors: DataFrame, k: int = K, id_col: str = "node_id", v: str = "v", block: int | None = None) -> DataFrame:
+    """(id, other, sim): of each vector the k of largest cosine, equal ones by id; fewer where there are fewer. All pairs
+    are compared: a task holds a tile with the best that its vectors have so far, while all others pass by. Zero and
+    null vectors take no part. Ids are distinct whole numbers."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(v).alias("v")).where(F.exists("v", lambda x: x != 0))
+    n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    count = tiles.tiles_of(n, dims, 4 * vectors.sparkSession.sparkContext.defaultParallelism, block)
+
+    def lists(held) -> pa.RecordBatch:
+        found = [(np.repeat(a.ids, k), other.ravel(), value.ravel()) for a, (value, other) in held]
+        ids, other, value = (np.concatenate([f[c] for f in found]) for c in range(3))
+        full = value > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(x[full]) for x in (ids, other, value)], ["id", "other", "sim"])
+
+    def kernel(batches):
+        now, held = None, []
+        for group, side, _, chunk in tiles.read(batches):
+            if group != now:
+                if held:
+                    yield lists(held)
+                now, held = group, []
+            best = np.full((len(chunk.ids), k), -np.inf), np.zeros((len(chunk.ids), k), np.int64)
+            for at, (a, known) in enumerate(held):
+                sim = tiles.cosines(a, chunk)
+                held[at] = a, _merged(known, sim, chunk.ids)
+                if not side:
+                    best = _merged(best, np.ascontiguousarray(sim.T), a.ids)
+            if not side:
+                sim = tiles.cosines(chunk, chunk)
+                np.fill_diagonal(sim, -np.inf)
+                held.append((chunk, _merged(best, sim, chunk.ids)))
+        if held:
+            yield lists(held)
+
+    return tiles.each_with_all(tiles.dealt(rows, "id", "v", n, count), count).mapInArrow(kernel, "id long, other long, sim double")
+
+
 def fuzzy(graph: DataFrame) -> DataFrame:
     """(a, b, weight), a < b: how much the two are neighbours, by distances 1 - sim of each node's list: 1 for its
     nearest, and falling so that a list of k sums up to log2 k; the two views are joined as probabilities."""
