@@ -244,3 +244,43 @@ def test_neighbours_are_the_nearest(spark):
         assert all(np.allclose(sorted(lists[i], reverse=True), want[i], rtol=0, atol=1e-12) for i in lists)
     assert sorted((r.id, r.other) for r in neighbours.exact(v.where("node_id in (3, 100, 200)"), 10).collect()) == [(3, 100), (3, 200), (100, 3), (100, 200), (200, 3), (200, 100)]
     assert neighbours.exact(v.limit(0)).collect() == []
+
+
+def moved_rows(df):
+    """The largest number of rows that one of the plan's Python operators gave in a run, and the bytes that were shuffled."""
+    df.collect()
+    plan, rows, moved = [df._jdf.queryExecution().executedPlan()], [0], 0
+    while plan:
+        p = plan.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            plan.append(p.plan())
+            continue
+        m = p.metrics()
+        if m.contains("pythonNumRowsReceived"):
+            rows.append(m.apply("pythonNumRowsReceived").value())
+        if name == "Exchange":
+            moved += m.apply("shuffleBytesWritten").value()
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+    return max(rows), moved
+
+
+def test_no_pair_leaves_its_task_for_a_count(spark):
+    from vexel.catalog import QUERIES
+    from vexel.sources import fixtures as fx
+
+    v = fx.video_embeddings(spark, "/root/testdata/sf0.01")
+    for name in ("similarity_range",):
+        assert moved_rows(QUERIES[name](spark, "/root/testdata/sf0.01"))[0] < 10_000
+    assert graph.similarity_ends(v.limit(0)).collect() == [(None, None, 0)]
+
+
+def test_pairs_are_shuffled_by_tiles(spark):
+    """Each vector goes to each tile, not to each block of two thousand."""
+    x = np.random.default_rng(1).normal(size=(30_000, 8)).astype(np.float32)
+    v = stored(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, v array<double>"))
+    found = graph.similarity_ends(v)
+    assert moved_rows(found)[1] < 20 * x.nbytes and found.first().n == 30_000 * 29_999 // 2
