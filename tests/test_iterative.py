@@ -270,11 +270,18 @@ def moved_rows(df):
 
 def test_no_pair_leaves_its_task_for_a_count(spark):
     from vexel.catalog import QUERIES
+    from vexel.operators import clusters
     from vexel.sources import fixtures as fx
 
     v = fx.video_embeddings(spark, "/root/testdata/sf0.01")
-    for name in ("similarity_range",):
+    for name in ("similarity_range", "sim_histogram"):
         assert moved_rows(QUERIES[name](spark, "/root/testdata/sf0.01"))[0] < 10_000
+    x, _ = clumps(np.random.default_rng(0))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, v array<double>")
+    want = sorted(map(tuple, clusters.histogram(graph.pairwise_cosine(v).select(F.round("sim", 9).alias("sim")), "sim", 7).collect()))
+    assert sorted(map(tuple, graph.similarity_histogram(v, 7, block=100).collect())) == [(b, pytest.approx(lo, abs=1e-12), pytest.approx(hi, abs=1e-12), n) for b, lo, hi, n in want]
+    assert [r.n for r in graph.similarity_histogram(v.where("node_id between 4 and 6"), 3).orderBy("bin").collect()] == [3, 0, 0]
+    assert graph.similarity_histogram(v.limit(1)).collect() == []
     assert graph.similarity_ends(v.limit(0)).collect() == [(None, None, 0)]
 
 
