@@ -291,3 +291,18 @@ def test_pairs_are_shuffled_by_tiles(spark):
     v = stored(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, v array<double>"))
     found = graph.similarity_ends(v)
     assert moved_rows(found)[1] < 20 * x.nbytes and found.first().n == 30_000 * 29_999 // 2
+
+
+def test_similar_pairs_are_shuffled_by_tiles(spark):
+    """Random vectors, of which no cells can be skipped: each goes to each tile, not to each block."""
+    x = np.random.default_rng(6).normal(size=(30_000, 8)).astype(np.float32)
+    v = stored(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, v array<double>"))
+    found = graph.similar_pairs(v, 0.98)
+    rows = {(r.src, r.dst) for r in found.collect()}
+    u = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = set()
+    for a in range(0, len(u), 1000):
+        i, j = np.nonzero(u[a : a + 1000] @ u.T >= 0.98)
+        want |= {(int(s), int(d)) for s, d in zip(i + a, j) if s < d}
+    assert rows == want
+    assert moved_rows(found)[1] < 20 * x.nbytes
