@@ -306,3 +306,14 @@ def test_similar_pairs_are_shuffled_by_tiles(spark):
         want |= {(int(s), int(d)) for s, d in zip(i + a, j) if s < d}
     assert rows == want
     assert moved_rows(found)[1] < 20 * x.nbytes
+
+
+def test_ids_are_mapped_before_pairs(spark):
+    x, _ = clumps(np.random.default_rng(0))
+    v = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(x)], "video_id string, v array<double>")
+    ids = spark.createDataFrame([(f"v{i}", 1000 - i) for i in range(0, 600, 2)], "video_id string, node_id long")
+    named = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node_id long, v array<double>")
+    name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string")).alias(c)
+    whole = graph.mapped(graph.similar_pairs(named, 0.9).select(name("src"), name("dst"), "sim"), ids)
+    got, want = ({(r.src, r.dst): r.sim for r in df.collect()} for df in (graph.mapped_pairs(v, ids, 0.9), whole))
+    assert got == pytest.approx(want) and len(got) > 100
