@@ -317,3 +317,51 @@ def test_ids_are_mapped_before_pairs(spark):
     whole = graph.mapped(graph.similar_pairs(named, 0.9).select(name("src"), name("dst"), "sim"), ids)
     got, want = ({(r.src, r.dst): r.sim for r in df.collect()} for df in (graph.mapped_pairs(v, ids, 0.9), whole))
     assert got == pytest.approx(want) and len(got) > 100
+
+
+def passes(spark, run):
+    """The result of run(videos) over 4000 videos of two periods, and how often it went over them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    v = stored(spark.range(4000).select(F.concat(F.lit("id_"), "id", F.when(F.col("id") % 4 == 0, "_2024-01-05").otherwise("_2024-02-05")).alias("video_id"), (5 + F.col("id") * 7919 % 1000 / 10).alias("duration")))
+    rows = run(v.withColumn("duration", counted.asNondeterministic()("duration"))).collect()
+    return rows, seen.value / 4000
+
+
+def picks(rows, alloc):
+    """(id, period) picked from (id, period, duration), plainly."""
+    import hashlib
+
+    out = set()
+    for p, k in alloc.items():
+        own = [r for r in rows if r[1] == p]
+        own.sort(key=lambda r: (2, 0, r[0]) if r[2] is not None and math.isnan(r[2]) else (1, 0, r[0]) if r[2] is None else (0, -r[2], r[0]))
+        late = {r[0] for r in own[math.floor(len(own) * 0.8) :]} if len(own) > k else set()
+        own.sort(key=lambda r: (r[0] in late, hashlib.md5(f"{r[0]}_42".encode()).hexdigest(), r[0]))
+        out |= {(r[0], p) for r in own[:k]}
+    return out
+
+
+def test_samples_are_picked_in_few_passes(spark):
+    alloc = spark.createDataFrame([("2024-01", 1000, 100), ("2024-02", 3000, 2700)], "period string, n long, alloc long")
+    rows, times = passes(spark, lambda v: sampling.picked(v, alloc))
+    whole = [(f"id_{i}_2024-0{1 if i % 4 == 0 else 2}-05", f"2024-0{1 if i % 4 == 0 else 2}", 5 + i * 7919 % 1000 / 10) for i in range(4000)]
+    assert {(r.video_id, r.period) for r in rows} == picks(whole, {"2024-01": 100, "2024-02": 2700}) and len(rows) == 2800
+    assert times <= 2
+
+
+def test_odd_durations_are_picked(spark):
+    nan, rows = float("nan"), []
+    for m, (n, value) in enumerate([(1, lambda i: 1.0), (3, lambda i: float(i)), (700, lambda i: 5.0), (700, lambda i: None), (700, lambda i: nan if i % 2 else None), (1200, lambda i: [None, nan, 7.0, float(i)][i % 4])], 1):
+        rows += [(f"id_{m}x{i}_2024-{m:02}-05", f"2024-{m:02}", value(i)) for i in range(n)]
+    counts = {p: sum(r[1] == p for r in rows) for p in {r[1] for r in rows}}
+    v = stored(spark.createDataFrame([(r[0], r[2]) for r in rows], "video_id string, duration double"))
+    for share in (0.0, 0.1, 0.9, 1.0):
+        alloc = {p: math.ceil(n * share) for p, n in counts.items()}
+        found = sampling.picked(v, spark.createDataFrame([(p, counts[p], k) for p, k in alloc.items()], "period string, n long, alloc long")).collect()
+        assert {(r.video_id, r.period) for r in found} == picks(rows, alloc) and len(found) == sum(alloc.values())

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_frames, id_date, period
+from ..storage import stored
 from .ranking import numbered
-from .selection import median
+from .selection import ACCURACY, median
 
 MIN_DURATION = 5.0
 
@@ -64,8 +65,9 @@ def success_counts(videos: DataFrame, least: float = MIN_DURATION) -> DataFrame:
 def allocation(periods: DataFrame, target: int) -> DataFrame:
     """(period, n, alloc): a minimum for each period, the rest in proportion. Periods of n = 0 count as periods.
 
-    One row a period; the totals are one broadcast row.
+    One row a period; the totals are one broadcast row. The periods are stored, as they are gone over for each total.
     """
+    periods = stored(periods)
     totals = periods.agg(F.sum("n").alias("all_n"), F.count("*").alias("P")).withColumn("T", F.least(F.lit(target).cast("long"), "all_n"))
     totals = totals.withColumn("m", F.greatest(F.lit(5), F.floor(F.col("T") / (2 * F.col("P"))))).where("P > 0")
     j = periods.join(F.broadcast(totals))
@@ -79,16 +81,45 @@ def allocation(periods: DataFrame, target: int) -> DataFrame:
     return j.select("period", "n", F.when((F.col("R") > 0) & (F.col("n") > F.col("m")), F.least(base + more, "n")).otherwise(base).cast("long").alias("alloc"))
 
 
+def _eighties(v: DataFrame) -> DataFrame:
+    """(period, _d, _i): _down and id of the row at place floor(0.8 n) of its period (period, n, _down, video_id) in their
+    order; no row where that is 0. A sketch brackets the place, rows before the bracket are counted, and only those within,
+    some thousandths, are ranked; all rows of a period whose bracket misses the place are."""
+    share = lambda x: F.percentile_approx(F.nanvl("_down", F.lit(float("inf"))), F.lit(x), ACCURACY)
+    ends = v.groupBy("period").agg(F.floor(F.first("n") * 0.8).alias("_cut"), share(0.8 - 2 / ACCURACY).alias("_a"), share(0.8 + 2 / ACCURACY).alias("_b"))
+    # Stored, as a sketch depends on the order of rows. NaN comes after infinity.
+    ends = stored(ends.withColumn("_b", F.when(F.col("_b") == float("inf"), F.lit(float("nan"))).otherwise(F.col("_b"))))
+    inside = F.col("_down").between(F.col("_a"), F.col("_b"))
+    counts = v.join(F.broadcast(ends), "period").groupBy("period", "_cut", "_a", "_b").agg(F.count_if(F.col("_down") < F.col("_a")).alias("_before"), F.count_if(inside).alias("_within"))
+    hit = (F.col("_cut") > F.col("_before")) & (F.col("_cut") <= F.col("_before") + F.col("_within"))
+    counts = stored(counts.select("period", "_cut", F.when(hit, F.col("_a")).alias("_a"), "_b", F.when(hit, F.col("_before")).otherwise(0).alias("_before")))
+    few = stored(v.select("period", "_down", "video_id").join(F.broadcast(counts), "period").where(F.col("_a").isNull() | inside))
+    return numbered(few, ["_down", "video_id"], ["period"]).where(F.col("_before") + F.col("rank") == F.col("_cut")).select("period", F.col("_down").alias("_d"), F.col("video_id").alias("_i"))
+
+
+def _foremost(v: DataFrame) -> DataFrame:
+    """Of (period, alloc, _late, _hash, ...) all rows that may be among the first `alloc` of their period by (_late, _hash):
+    rows are counted by the hash's first digits, and those whose digits begin after `alloc` rows are left out."""
+    v = v.withColumn("_k", F.col("_late").cast("int") * 4096 + F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
+    w = Window.partitionBy("period").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # 8192 rows a period at most
+    counts = v.groupBy("period", "alloc", "_k").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    last = counts.where(F.col("_before") < F.col("alloc")).groupBy("period").agg(F.max("_k").alias("_last"))
+    return v.join(F.broadcast(last), "period").where(F.col("_k") <= F.col("_last")).drop("_k", "_last")
+
+
 def picked(videos: DataFrame, alloc: DataFrame, seed: int = 42) -> DataFrame:
     """(video_id, period, duration): from each period's longest 80 % (floor) `alloc` by md5; where these are too few,
-    all of them and then the others by md5. Ids of equal duration go in order. Rows are ranked within ranges of each
-    period, so a period that holds most rows is no single task's."""
-    v = videos.withColumn("period", period(id_date(F.col("video_id")))).join(F.broadcast(alloc), "period")
+    all of them and then the others by md5. Ids of equal duration go in order. The rows are stored and gone over some times, but only
+    those around the 80 % and those that may be picked are ranked, within ranges of each period, so a period that holds most
+    rows is no single task's."""
+    alloc = stored(alloc)
+    v = stored(videos.select("video_id", period(id_date(F.col("video_id"))).alias("period"), "duration")).join(F.broadcast(alloc), "period")
     v = v.select("video_id", "period", "duration", "n", "alloc", F.coalesce(-F.col("duration"), F.lit(float("inf"))).alias("_down"))
-    v = numbered(v, ["_down", "video_id"], ["period"])
-    late = (F.col("n") > F.col("alloc")) & (F.col("rank") > F.floor(F.col("n") * 0.8))
+    v = v.join(F.broadcast(stored(_eighties(v))), "period", "left")
+    after = F.col("_d").isNull() | (F.col("_down") > F.col("_d")) | ((F.col("_down") == F.col("_d")) & (F.col("video_id") > F.col("_i")))
+    late = (F.col("n") > F.col("alloc")) & after
     v = v.select("video_id", "period", "duration", "alloc", late.alias("_late"), shuffled("video_id", seed).alias("_hash"))
-    return numbered(v, ["_late", "_hash", "video_id"], ["period"]).where(F.col("rank") <= F.col("alloc")).select("video_id", "period", "duration")
+    return numbered(stored(_foremost(v)), ["_late", "_hash", "video_id"], ["period"]).where(F.col("rank") <= F.col("alloc")).select("video_id", "period", "duration")
 
 
 def trimmed(sample: DataFrame, target: int, least: int) -> DataFrame:
