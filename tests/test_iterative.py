@@ -355,6 +355,11 @@ def test_samples_are_picked_in_few_passes(spark):
     assert times <= 2
 
 
+def test_samples_are_trimmed_in_few_passes(spark):
+    rows, times = passes(spark, lambda v: sampling.trimmed(v.select("video_id", F.lit("2024-01").alias("period"), "duration"), 1500, 20))
+    assert len(rows) == 1500 and times <= 1
+
+
 def test_odd_durations_are_picked(spark):
     nan, rows = float("nan"), []
     for m, (n, value) in enumerate([(1, lambda i: 1.0), (3, lambda i: float(i)), (700, lambda i: 5.0), (700, lambda i: None), (700, lambda i: nan if i % 2 else None), (1200, lambda i: [None, nan, 7.0, float(i)][i % 4])], 1):

@@ -123,7 +123,9 @@ def picked(videos: DataFrame, alloc: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def trimmed(sample: DataFrame, target: int, least: int) -> DataFrame:
-    """Takes what exceeds `target` from the largest periods first, their shortest videos, never below `least`."""
+    """Takes what exceeds `target` from the largest periods first, their shortest videos, never below `least`. The sample is
+    stored, so that it is drawn once."""
+    sample = stored(sample)
     sizes = sample.groupBy("period").agg(F.count("*").alias("n"))
     over = sizes.agg(F.greatest(F.sum("n") - target, F.lit(0)).alias("excess"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "period").rowsBetween(Window.unboundedPreceding, -1)  # one row a period
