@@ -84,3 +84,15 @@ def test_working_tables_can_be_dropped(spark):
     assert suffix.removals(odd_documents(spark)).count() == 11 and len(spark.catalog.listTables()) > len(before)
     common.release(spark, mark)
     assert spark.catalog.listTables() == before and common.working() == mark
+
+
+def test_copies_are_not_followed(spark, monkeypatch):
+    """Whole copies share no anchors with what is followed, and what a part of them shares with others still counts."""
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(30)]
+    texts = base * 4 + [base[0][100:200] + base[1][50:120], base[2][:49], base[2][:49], base[2][:50], base[2][:50]]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)) // 2 * 2, texts)]  # some ids twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, suffix.removals(docs).collect()), key=str) == brute(rows)
+    known, _ = suffix._marked(spark.createDataFrame(list(enumerate(base * 4)), "doc_id long, text string"), "doc_id", "text")
+    assert sum(len(r.at) for r in known.select("at").collect()) == 0

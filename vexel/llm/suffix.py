@@ -10,6 +10,9 @@ prefixes of neighbours. Hashes only say who meets whom; bytes decide.
 An anchor with very many occurrences would make a part too large. Its strings are grouped as rows instead: each block
 gives every distinct one once, with its least document, and Spark's partial sums find the least of all.
 
+A document whose whole text a smaller document has goes whole, and is found by its SHA-256 before: it has no string that
+the smaller one has not, so nothing else hangs on it, and neither its anchors nor, for its sake, those of the other are followed.
+
 Documents are packed into blocks that are stored bucketed by block; only hashes, contexts and verdicts are shuffled.
 """
 
@@ -264,10 +267,25 @@ class Block:
         self.ids = np.array([i or 0 for i in row["doc_id"]], np.int64)
         if "at" in row:  # share() was there before
             self.at, self.hash, hot = (np.frombuffer(row[c], k) for c, k in (("at", "<i8"), ("hash", np.uint64), ("hot", np.uint8)))
-            self.follow(hot > 0)
-        else:
+            self.hot = hot > 0
+        elif "r0" in row:
+            known &= ~self.copies()
             self.at, self.hash = anchors(self.text, self.starts[known], self.ends[known])
 
+    def copies(self) -> np.ndarray:
+        """Which documents are copies of documents with smaller ids."""
+        out = np.zeros(len(self.lens), bool)
+        for answer in self.row["r0"] or []:
+            out[np.frombuffer(answer["data"], np.int32)] = True
+        return out
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """The documents with ids and LENGTH bytes at least, and the SHA-256 of each, as rows of four words."""
+        own = np.array([i for i, (d, n) in enumerate(zip(self.row["doc_id"], self.lens)) if d is not None and n >= LENGTH], np.int64)
+        text = memoryview(self.row["text"])
+        found = b"".join(hashlib.sha256(text[self.starts[i] : self.ends[i]]).digest() for i in own)
+        return own, np.frombuffer(found, np.uint64).reshape(len(own), 4)
+
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchors, which of them each place has, how often they occur, and whether documents of this block
         share them."""
@@ -288,13 +306,16 @@ class Block:
         keep = answer > 0
         return [self.at[keep].astype("<i8").tobytes(), self.hash[keep].tobytes(), (answer[keep] > 1).astype(np.uint8).tobytes()]
 
-    def follow(self, hot: np.ndarray) -> None:
-        """Puts equal contexts of equal anchors together, as entries with their least documents; likewise the distinct
-        strings of hot anchors."""
-        doc = self.doc(self.at)
-        of, low = self.ids[doc], np.maximum(self.starts[doc], self.at - REACH)
-        size = np.minimum(self.ends[doc], self.at + LENGTH) - low
-        self.of, self.low, self.size, hash_ = of[~hot], low[~hot], size[~hot], self.hash[~hot]
+    def contexts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some anchors: the document's id, and where the context begins and how long it is."""
+        at = self.at[own]
+        doc = self.doc(at)
+        low = np.maximum(self.starts[doc], at - REACH)
+        return self.ids[doc], low, np.minimum(self.ends[doc], at + LENGTH) - low
+
+    def follow(self) -> None:
+        """Puts equal contexts of equal anchors together, as entries with their least documents."""
+        (self.of, self.low, self.size), hash_ = self.contexts(~self.hot), self.hash[~self.hot]
         _, which = distinct(common.ragged(self.text, self.low, self.size), self.size)
         by = np.lexsort((which, hash_))
         new = np.append(True, (np.diff(which[by]) != 0) | (hash_[by][1:] != hash_[by][:-1]))[: len(by)]
@@ -305,9 +326,13 @@ class Block:
         np.minimum.at(self.least, self.entry, self.of)
         self.entry_hash = hash_[self.first]
         self.entry_part = _part(self.entry_hash, self.parts)
-        strings = np.maximum(size[hot] - LENGTH + 1, 0)
-        self.hot_low = np.repeat(low[hot], strings) + np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
-        self.hot_of = np.repeat(of[hot], strings)
+
+    def follow_hot(self) -> None:
+        """Likewise the distinct strings of hot anchors."""
+        of, low, size = self.contexts(self.hot)
+        strings = np.maximum(size - LENGTH + 1, 0)
+        self.hot_low = np.repeat(low, strings) + np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+        self.hot_of = np.repeat(of, strings)
         self.hot_low, unique = np.unique(self.hot_low, return_index=True)
         self.hot_of = self.hot_of[unique]
         self.hot_first, self.hot_which = self.distinct_strings(self.hot_low)
@@ -327,6 +352,8 @@ class Block:
 
     def removed(self) -> np.ndarray:
         """Whether each byte goes."""
+        self.follow()
+        self.follow_hot()
         masks = _gathered(self.row["r2"], self.entry_part, np.uint32)[self.entry]
         cover = np.zeros(len(self.text) + 1, np.int32)
 
@@ -343,6 +370,8 @@ class Block:
         earlier_[self.row["r3"] or []] = True
         gone = earlier_[self.hot_which] | (self.hot_of > self.hot_least[self.hot_which])
         add(self.hot_low[gone], LENGTH)
+        copies = self.copies()
+        add(self.starts[copies], self.lens[copies])
         return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
@@ -408,7 +437,26 @@ def _ask_shared(b: Block) -> pa.RecordBatch:
     return _dealt(b.row["block"], _part(keys, b.parts), [((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), None), (np.minimum(n, 0xFFFF).astype(np.uint16), None), (within.astype(np.uint8), None)])
 
 
+def _ask_copies(b: Block) -> pa.RecordBatch:
+    own, digests = b.digests()
+    four = np.full(len(own), 4)
+    return _dealt(b.row["block"], _part(digests[:, 0], b.parts), [(digests.ravel(), four), (b.ids[own], None), (own.astype(np.int32), None)])
+
+
+def _copied(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each block the documents whose text a smaller document has."""
+    digests, _ = _arrays(pdf, "a", np.uint64)
+    doc, cuts = _arrays(pdf, "b", np.int64)
+    place, _ = _arrays(pdf, "c", np.int32)
+    _, which = np.unique(digests.view(np.dtype((np.void, 32))), return_inverse=True)
+    least = np.full(len(doc), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    copy = doc > least[which]
+    return pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "data": [p[c].tobytes() for p, c in zip(np.split(place, cuts), np.split(copy, cuts))]})
+
+
 def _ask_sorted(b: Block) -> pa.RecordBatch:
+    b.follow()
     low, size = b.low[b.first], b.size[b.first]
     short = (b.entry_hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return _dealt(b.row["block"], b.entry_part, [(common.ragged(b.text, low, size), size), (size.astype(np.uint8), None), (b.least, None), (short, None)])
@@ -440,6 +488,7 @@ def _hot_strings(known: DataFrame, name: str, buckets: int, parts: int) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row, parts)
+                b.follow_hot()
                 low = b.hot_low[b.hot_first]
                 for at in range(0, len(low), ROWS):
                     part = low[at : at + ROWS]
@@ -462,11 +511,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) ->
     size = blocks.select(F.sum(F.length("text"))).first()[0] or 0
     parts = int(max(buckets, size >> 22))
     most = HOT
-    shared = _shared_anchors(_round(blocks, name, buckets, parts, 1, _ask_shared, lambda pdf: _shared(pdf, most), "abc"), name, buckets, parts)
+    first = _round(blocks, name, buckets, parts, 0, _ask_copies, _copied, "abc")
+    shared = _shared_anchors(_round(first, name, buckets, parts, 1, _ask_shared, lambda pdf: _shared(pdf, most), "abc"), name, buckets, parts)
     followed = blocks.join(shared, "block")
     hot = _hot_strings(followed, name, buckets, parts)
     masks = _round(followed, name, buckets, parts, 2, _ask_sorted, _sorted, "abcd").select("block", "r2")
-    return stored.join(shared, "block").join(masks, "block", "left").join(hot, "block", "left"), parts
+    copies = first.select("block", "r0")
+    return stored.join(shared, "block").join(masks, "block", "left").join(hot, "block", "left").join(copies, "block", "left"), parts
 
 
 def _documents(known: DataFrame, parts: int, schema, result) -> DataFrame:
